@@ -1,6 +1,8 @@
 """Queries of the training-data operators, with SQL oracles where SQL can say them."""
 
-from presswork.llm import calibrate, lines
+from presswork.llm import calibrate, groups, leaks, lines
+from pyspark.sql import functions as F
+
 from presswork.plans.registry import Registry
 from presswork.session import read
 
@@ -47,6 +49,8 @@ def p1_sample(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2: repeated lines
 
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f"
+
 _P2 = """
 WITH src AS (
   SELECT doc_id, text, nullif(regexp_replace(lower(regexp_extract(trim(url),
@@ -57,7 +61,7 @@ each AS (
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM src WHERE site IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL),
 keyed AS (
-  SELECT *, regexp_replace(replace(lower(trim(regexp_replace(translate(line, '""" + lines.INVISIBLE + """', ''),
+  SELECT *, regexp_replace(replace(lower(trim(regexp_replace(translate(line, '""" + _INVISIBLE + """', ''),
     '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0085}\\x0b\\x1c-\\x1f]+', ' ', 'g'))), 'ß', 'ss'),
     '[0-9]+', '0', 'g') AS key FROM each),
 rep AS (
@@ -74,3 +78,52 @@ def p2_found(spark, sf_dir):
 @R.query("p2_clean")
 def p2_clean(spark, sf_dir):
     return lines.clean_texts(read(spark, sf_dir, "news_final_project"))
+
+
+# ---------------------------------------------------------------- 3: grouped splits
+
+
+@R.query(
+    "p3_found",
+    """
+WITH RECURSIVE rec AS (
+  SELECT sample_id, trim(regexp_replace(lower(trim(canonical_entity)), '\\s+', ' ', 'g')) || '|||' ||
+    trim(regexp_replace(lower(trim(final_type)), '\\s+', ' ', 'g')) AS node, doc_id, block_id FROM sentiment_training_data),
+link AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM rec a JOIN rec b ON a.doc_id = b.doc_id AND a.block_id = b.block_id
+  UNION SELECT DISTINCT a.node, b.node FROM rec a JOIN rec b USING (sample_id)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT sample_id, min(b) AS group_key FROM rec JOIN reach ON a = node GROUP BY 1
+""",
+)
+def p3_found(spark, sf_dir):
+    return groups.group_keys(read(spark, sf_dir, "sentiment_training_data"))
+
+
+@R.query("p3_splits")
+def p3_splits(spark, sf_dir):
+    return groups.assign_splits(read(spark, sf_dir, "sentiment_training_data"))
+
+
+@R.query("p3_report")
+def p3_report(spark, sf_dir):
+    return groups.split_report(groups.assign_splits(read(spark, sf_dir, "sentiment_training_data")))
+
+
+# ---------------------------------------------------------------- 7: evaluation leaks
+
+
+def _leaks(spark, sf_dir):
+    return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "heldout_items"))
+
+
+@R.query("p7_found")
+def p7_found(spark, sf_dir):
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@R.query("p7_items")
+def p7_items(spark, sf_dir):
+    """Documents each leaked item was found in, and the largest share found."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.max("share").alias("max_share"))
