@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters without width that a line may carry unseen (fixed values).
-INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f"
-#: Every kind of white space, the no-break ones included, as a Java pattern (fixed values).
-SPACES = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085\x0b\x1c-\x1f]+"
+from presswork.session import cut
+
+#: Characters without width that a line may carry unseen, as a Java class (fixed values).
+INVISIBLE = r"[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f]"
+#: White space other than the plain space and the line end, no-break kinds included (fixed values).
+ODD_SPACE = r"\t\r\f\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def site_of(url: Column) -> Column:
@@ -25,11 +27,15 @@ def site_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
-def line_key(line: Column) -> Column:
-    """What makes two lines the same: case, spacing, invisible characters and digits apart."""
-    t = F.translate(line, INVISIBLE, "")
-    t = F.trim(F.regexp_replace(t, SPACES, " "))
-    return F.regexp_replace(F.replace(F.lower(t), F.lit("\u00df"), F.lit("ss")), "[0-9]+", "0")
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines in order: case, spacing, invisible characters and digits apart.
+
+    The text is normalised as a whole, then split: few long regex runs instead of many short ones.
+    """
+    t = F.regexp_replace(F.lower(text), INVISIBLE, "")
+    t = F.regexp_replace(t, f" *[{ODD_SPACE}][ {ODD_SPACE}]*| {{2,}}", " ")
+    t = F.regexp_replace(F.replace(t, F.lit("\u00df"), F.lit("ss")), "[0-9]+", "0")
+    return F.split(t, "\n")
 
 
 def _hash2(c: Column, name: str) -> list[Column]:
@@ -50,11 +56,12 @@ def lines_of(news: DataFrame) -> DataFrame:
     """
     src = news.select("doc_id", site_of(F.col("url")).alias("site"), "text").where(
         F.col("site").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    each = src.select("doc_id", "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = each.select("doc_id", "site", "line_no", "line", line_key(F.col("line")).alias("key")).where(F.col("key") != "")
-    return keyed.select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.xxhash64("site").alias("s"), "site",
-        *_hash2(F.col("key"), "k"), F.xxhash64(F.trim("line")).alias("variant"),
+    pairs = F.arrays_zip(line_keys(F.col("text")).alias("key"),
+                         F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("variant"))
+    each = src.select("doc_id", "site", F.posexplode(pairs).alias("line_no", "l")).where(F.col("l.key").rlike("[^ ]"))
+    return each.select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), "site",
+        *_hash2(F.trim("l.key"), "k"), F.col("l.variant").alias("variant"),
         F.shiftright("doc_id", 6).alias("word"),
         F.expr("shiftleft(1L, cast(doc_id & 63 as int))").alias("bit"))
 
@@ -73,7 +80,10 @@ def line_bitmaps(lines: DataFrame) -> DataFrame:
 
 def repeated(news: DataFrame, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
     """Lines of a site that at least ``min_docs`` and ``min_share`` of its rows carry."""
-    maps = line_bitmaps(lines_of(news))
+    return _repeated(line_bitmaps(lines_of(news)), news, min_docs, min_share)
+
+
+def _repeated(maps: DataFrame, news: DataFrame, min_docs: int, min_share: float) -> DataFrame:
     cards = maps.groupBy("site", "k1", "k2").agg(F.sum(F.bit_count("bits").cast("long")).alias("docs")).where(
         F.col("docs") >= min_docs)
     return cards.join(site_rows(news), "site").where(F.col("docs") >= F.col("rows") * min_share)
@@ -85,9 +95,10 @@ def boilerplate_lines(news: DataFrame, min_docs: int = 5, min_share: float = 0.0
     Ties at a threshold count as repeated. Empty tables give no rows; a document that
     carries a line twice counts once and loses both.
     """
-    lines = lines_of(news)
-    keep = repeated(news, min_docs, min_share).select("site", "k1", "k2", "docs", "rows")
-    hit = line_bitmaps(lines).join(keep, ["site", "k1", "k2"], "left_semi").select("site", "k1", "k2", "word", "bits")
+    lines = cut(lines_of(news), "lines")  # 128-bit line hashes, no text
+    maps = line_bitmaps(lines)
+    keep = _repeated(maps, news, min_docs, min_share).select("site", "k1", "k2")
+    hit = maps.join(keep, ["site", "k1", "k2"], "left_semi").select("site", "k1", "k2", "word", "bits")
     return (
         lines.join(hit, ["site", "k1", "k2", "word"])
         .where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
