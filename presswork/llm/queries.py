@@ -1,10 +1,10 @@
 """Queries of the training-data operators, with SQL oracles where SQL can say them."""
 
-from presswork.llm import calibrate, groups, leaks, lines
+from presswork.llm import calibrate, groups, leaks, lines, mixing
 from pyspark.sql import functions as F
 
 from presswork.plans.registry import Registry
-from presswork.session import read
+from presswork.session import cut, read
 
 R = Registry()
 
@@ -127,3 +127,27 @@ def p7_items(spark, sf_dir):
     """Documents each leaked item was found in, and the largest share found."""
     return _leaks(spark, sf_dir).groupBy("item_id").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.max("share").alias("max_share"))
+
+
+# ---------------------------------------------------------------- 8: mixing sources
+
+
+def _mix(spark, sf_dir, what):
+    counts = cut(mixing.token_counts(read(spark, sf_dir, "documents")), "tokens")
+    return what(counts, read(spark, sf_dir, "mix_targets"))
+
+
+@R.query("p8_found")
+def p8_found(spark, sf_dir):
+    r = _mix(spark, sf_dir, mixing.mix_report)
+    return r.where(F.col("short") & (F.col("drawn_tokens") <= F.col("reachable_tokens"))).select("mix_id", "source")
+
+
+@R.query("p8_report")
+def p8_report(spark, sf_dir):
+    return _mix(spark, sf_dir, mixing.mix_report)
+
+
+@R.query("p8_mix")
+def p8_mix(spark, sf_dir):
+    return _mix(spark, sf_dir, mixing.mix)
