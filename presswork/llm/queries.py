@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL oracles where SQL can say them."""
 
-from presswork.llm import calibrate, groups, leaks, lines, mixing
+from presswork.llm import calibrate, groups, leaks, lines, mixing, names
 from pyspark.sql import functions as F
 
 from presswork.plans.registry import Registry
@@ -110,6 +110,21 @@ def p3_report(spark, sf_dir):
     return groups.split_report(groups.assign_splits(read(spark, sf_dir, "sentiment_training_data")))
 
 
+# ---------------------------------------------------------------- 6: variant names
+
+
+@R.query("p6_found")
+def p6_found(spark, sf_dir):
+    return names.name_pairs(names.name_groups(read(spark, sf_dir, "entity_mentions_raw")))
+
+
+@R.query("p6_groups")
+def p6_groups(spark, sf_dir):
+    """Every spelling with the group it belongs to."""
+    g = names.name_groups(read(spark, sf_dir, "entity_mentions_raw"))
+    return g.select(F.md5(F.array_join("members", "\n")).alias("group_id"), "root", F.explode("members").alias("entity_surface"))
+
+
 # ---------------------------------------------------------------- 7: evaluation leaks
 
 
