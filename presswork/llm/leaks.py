@@ -20,6 +20,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -36,10 +37,13 @@ GAP = 6
 #: A passage must have at least so many of the item's words in a row of stretches.
 MIN_PASSAGE = 12
 
+#: Texts searched at a time.
+TEXTS = 200
+
 _TAG = re.compile(r"<[^<>\n]{0,300}>|!?\[([^\]\n]{0,300})\]\([^)\s]{0,500}\)")
 _WORD = re.compile(r"[^\W_]+")
-_HIDDEN = {ord(c): None for c in "\u00ad\u200b\u200c\u200d\u2060\ufeff\u200e\u200f"}
-_APOSTROPHE = {ord(c): None for c in "'\u2019\u2018\u02bc`\u00b4"}
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u200e\u200f'\u2019\u2018\u02bc`\u00b4]")
 
 
 def words(text: str | None) -> list[str]:
@@ -50,72 +54,151 @@ def words(text: str | None) -> list[str]:
         text = _TAG.sub(lambda m: f" {m.group(1) or ''} ", text)
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_HIDDEN))
-    return _WORD.findall(text.translate(_APOSTROPHE).lower().replace("-\n", ""))
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower().replace("'", "").replace("-\n", ""))
+    text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
+    return _WORD.findall(text.lower().replace("-\n", ""))
 
 
 class WuManber:
-    """Multi-pattern search over word sequences; all patterns have ``m`` words, blocks have two."""
-
-    def __init__(self, patterns: dict[tuple[str, ...], list], m: int = WINDOW) -> None:
-        self.m, self.skip = m, m - 1
-        self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], list] = defaultdict(list)
-        for p, payload in patterns.items():
-            for q in range(1, m):
-                block, s = (p[q - 1], p[q]), m - 1 - q
-                if self.shift.get(block, self.skip) > s:
-                    self.shift[block] = s
-            self.bucket[(p[m - 2], p[m - 1])].append((p, payload))
-
-    def search(self, seq: list[str]) -> Iterator[tuple[int, list]]:
-        """(start, payload) of every occurrence."""
-        m, skip, n = self.m, self.skip, len(seq)
-        get, bucket = self.shift.get, self.bucket
-        i = m - 1
-        while i < n:
-            block = (seq[i - 1], seq[i])
-            s = get(block, skip)
-            if s:
-                i += s
-                continue
-            start = i - m + 1
-            for p, payload in bucket[block]:
-                if seq[start] == p[0] and tuple(seq[start:i + 1]) == p:
-                    yield start, payload
-            i += 1
+    """Multi-pattern search over numbered words; all patterns have ``m`` words, blocks have two.
+
+    The search runs over whole batches of texts at once. The shift table says for every
+    block how far from its end the nearest test string could end; only positions with
+    shift 0 are looked at further. Their suffix block selects the test strings in the
+    sorted bucket table, and the whole window is compared.
+    """
+
+    TABLE = 1 << 22
+
+    def __init__(self, patterns: list[tuple[str, ...]], m: int = WINDOW) -> None:
+        self.m = m
+        self.number = {w: i for i, w in enumerate(sorted({w for p in patterns for w in p}), 1)}
+        self.base = np.uint64(len(self.number) + 1)
+        ids = np.array([[self.number[w] for w in p] for p in patterns], dtype=np.uint64).reshape(len(patterns), m)
+        self.shift = np.full(self.TABLE, m - 1, dtype=np.int8)
+        for q in range(1, m):
+            # a shared table place keeps the smaller shift: nothing is skipped wrongly
+            np.minimum.at(self.shift, self._place(ids[:, q - 1], ids[:, q]), np.int8(m - 1 - q))
+        codes = self._code([ids[:, q] for q in range(m)])
+        self.order = np.argsort(codes, kind="stable")
+        self.codes = codes[self.order]
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * self.base + b) % np.uint64(self.TABLE)).astype(np.int64)
+
+    def _code(self, cols: list[np.ndarray]) -> np.ndarray:
+        c = cols[-1]
+        for x in cols[-2::-1]:  # suffix block first: test strings of one bucket lie together
+            c = c * self.base + x
+        return c
+
+    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, pattern) of every occurrence in the numbered words; 0 is a word of no pattern."""
+        m = self.m
+        none = np.zeros(0, dtype=np.int64)
+        if len(ids) < m or not len(self.codes):
+            return none, none
+        end = np.flatnonzero(self.shift[self._place(ids[m - 2:-1], ids[m - 1:])] == 0)
+        if not len(end):
+            return none, none
+        code = self._code([ids[end + q] for q in range(m)])
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return end[hit], self.order[at[hit]]
 
 
 class Index:
-    """The test strings of all items. Items with the same words share their search."""
+    """The test strings of all items.
+
+    Windows that many items share (instructions, stock phrases) are found in every text, so
+    the search looks for each item's rarer windows first. Wherever ``RUN`` windows in a row
+    are all shared by more than ``COMMON`` items, they are searched too: no stretch of an
+    item that is long enough to make a passage goes without a test string. An item with
+    ``SEEDS`` of them at nearly one distance from their place in the item is then compared
+    over all its windows.
+    """
+
+    COMMON, RUN, SEEDS = 3, MIN_PASSAGE - WINDOW + 1, 4
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.length: dict[int, int] = {}
-        patterns: dict[tuple[str, ...], list] = defaultdict(list)
-        for item, text in items:
-            w = words(text)
-            self.length[item] = len(w)
-            m = min(WINDOW, len(w))
-            for k in range(len(w) - WINDOW + 1 if m == WINDOW else 0):
-                patterns[tuple(w[k:k + WINDOW])].append((item, k))
-        self.search = WuManber(patterns)
-
-    def leaked(self, text: str | None) -> list[tuple[int, float]]:
-        """(item, share of its words found in its best passages) of every leaked item."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for start, payload in self.search.search(words(text)):
-            for item, k in payload:
-                hits[item].append((k, start))
-        out = []
-        for item, at in hits.items():
+        seqs = {item: words(text) for item, text in items}
+        self.length = {item: len(w) for item, w in seqs.items()}
+        shared: dict[tuple[str, ...], set] = defaultdict(set)
+        self.windows: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for item, w in seqs.items():
+            own: dict[tuple[str, ...], list[int]] = defaultdict(list)
+            for k in range(len(w) - WINDOW + 1):
+                own[tuple(w[k:k + WINDOW])].append(k)
+            self.windows[item] = dict(own)
+            for p in own:
+                shared[p].add(item)
+        seeds: dict[tuple[str, ...], list] = defaultdict(list)
+        self.items = list(seqs)
+        for place, w in enumerate(seqs.values()):
+            grams = [tuple(w[k:k + WINDOW]) for k in range(len(w) - WINDOW + 1)]
+            rare = [len(shared[p]) <= self.COMMON for p in grams]
+            keep, run = set(), []
+            for k, ok in enumerate([*rare, True]):
+                if not ok:
+                    run.append(k)
+                    continue
+                if len(run) >= self.RUN:
+                    keep.update(run)
+                run = []
+                if k < len(grams):
+                    keep.add(k)
+            for k in sorted(keep):
+                seeds[grams[k]].append((place, k))
+        self.search = WuManber(list(seeds))
+        self.many = np.array([len(v) for v in seeds.values()], dtype=np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        flat = np.array([x for v in seeds.values() for x in v], dtype=np.int64).reshape(-1, 2)
+        self.place, self.k = flat[:, 0], flat[:, 1]
+
+    def candidates(self, seqs: list[list[str]]) -> list[tuple[int, int]]:
+        """(text, item) with enough seeds at nearly one distance."""
+        number = self.search.number.get
+        gap = [0] * WINDOW  # between texts, so that no window reaches over their border
+        ids: list[int] = []
+        starts = []
+        for w in seqs:
+            starts.append(len(ids))
+            ids += [number(x, 0) for x in w]
+            ids += gap
+        at, pattern = self.search.search(np.array(ids, dtype=np.uint64))
+        if not len(at):
+            return []
+        begins = np.array(starts, dtype=np.int64)
+        doc = np.searchsorted(begins, at, side="right") - 1
+        n = self.many[pattern]
+        row = np.repeat(np.arange(len(at)), n)
+        flat = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[pattern], n)
+        dist = (at[row] - begins[doc[row]] - self.k[flat]) >> 3
+        pair = doc[row] * len(self.items) + self.place[flat]
+        key, count = np.unique((pair << 24) + dist + (1 << 23), return_counts=True)
+        both = count.copy()
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        ripe = np.unique(key[both >= self.SEEDS] >> 24)
+        return [(int(p // len(self.items)), self.items[int(p % len(self.items))]) for p in ripe]
+
+    def leaked(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+        """For every text the (item, share of its words found in its best passages) that leaked."""
+        seqs = [words(t) for t in texts]
+        out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        grams: dict[int, list] = {}
+        for d, item in self.candidates(seqs):
+            if d not in grams:
+                grams = {d: list(zip(*[seqs[d][i:] for i in range(WINDOW)]))}
+            own = self.windows[item]
+            hits = [(k, t) for t, g in enumerate(grams[d]) if g in own for k in own[g]]
             n = self.length[item]
             need = SHARE * n
-            if len(at) * WINDOW < need * 0.9:  # too few windows to cover a third, however they lie
+            if len(hits) * WINDOW < need * 0.9:  # too few windows to cover a third, however they lie
                 continue
-            found = sum(sorted(passages(at), reverse=True)[:PASSAGES])
+            found = sum(sorted(passages(hits), reverse=True)[:PASSAGES])
             if found >= need - 1e-9:
-                out.append((item, found / n))
+                out[d].append((item, found / n))
         return out
 
 
@@ -168,7 +251,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(shipped.value)
         for b in batches:
-            rows = [(d, i, s) for d, t in zip(b["doc_id"], b["text"]) for i, s in index.leaked(t)]
+            found = [index.leaked(list(b["text"].iloc[i:i + TEXTS])) for i in range(0, len(b), TEXTS)]
+            rows = [(d, i, s) for d, hits in zip(b["doc_id"], (x for part in found for x in part)) for i, s in hits]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
     src = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
