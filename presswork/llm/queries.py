@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL oracles where SQL can say them."""
 
-from presswork.llm import calibrate, groups, leaks, lines, mixing, names
+from presswork.llm import blocks, calibrate, groups, leaks, lines, mixing, names
 from pyspark.sql import functions as F
 
 from presswork.plans.registry import Registry
@@ -110,6 +110,19 @@ def p3_report(spark, sf_dir):
     return groups.split_report(groups.assign_splits(read(spark, sf_dir, "sentiment_training_data")))
 
 
+# ---------------------------------------------------------------- 5: main body
+
+
+@R.query("p5_found")
+def p5_found(spark, sf_dir):
+    return blocks.found(read(spark, sf_dir, "news_final_project"), read(spark, sf_dir, "sentences"))
+
+
+@R.query("p5_bodies")
+def p5_bodies(spark, sf_dir):
+    return blocks.main_bodies(read(spark, sf_dir, "news_final_project"))
+
+
 # ---------------------------------------------------------------- 6: variant names
 
 
