@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, however the driver came to import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_presswork_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="presswork-")) / "presswork.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*")):
+            if f.is_file() and "__pycache__" not in f.parts:
+                z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(target))  # copied to every executor by Spark itself
+    sc._presswork_shipped = True
