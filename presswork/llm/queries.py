@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL oracles where SQL can say them."""
 
-from presswork.llm import blocks, calibrate, groups, leaks, lines, mixing, names
+from presswork.llm import blocks, calibrate, groups, leaks, lines, mixing, names, subjects
 from pyspark.sql import functions as F
 
 from presswork.plans.registry import Registry
@@ -179,3 +179,24 @@ def p8_report(spark, sf_dir):
 @R.query("p8_mix")
 def p8_mix(spark, sf_dir):
     return _mix(spark, sf_dir, mixing.mix)
+
+
+# ---------------------------------------------------------------- 9: subject areas
+
+
+def _subjects(spark, sf_dir):
+    return subjects.document_subjects(*[read(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels")])
+
+
+@R.query("p9_found")
+def p9_found(spark, sf_dir):
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+@R.query("p9_composition")
+def p9_composition(spark, sf_dir):
+    """Documents of each subject and their share of all documents that have one."""
+    s = cut(_subjects(spark, sf_dir), "subjects")
+    total = s.agg(F.count_distinct("doc_id").alias("n"))
+    return s.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("share").alias("mean_share")).crossJoin(
+        F.broadcast(total)).select("subject", "n_docs", "mean_share", (F.col("n_docs") / F.col("n")).alias("doc_share"))
