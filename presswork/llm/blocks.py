@@ -28,6 +28,7 @@ from presswork.session import spread
 
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f]")
 _PIECE = re.compile(r"\s*[|·•/>»]\s*|\s{2,}|,\s+")
+_SEPARATED = re.compile(r"[|·•/>»,]|\s{2}|\t")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _CLOCK = re.compile(r"\d{1,2}[:h.]\d{2}\b|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 _BULLET = re.compile(r"\s*(?:[-–—*•‣▪◦]|\d{1,2}[.)])\s+")
@@ -46,6 +47,8 @@ FEATURES = (
 
 
 def clean(line: str) -> str:
+    if line.isascii():
+        return " ".join(line.split())
     return " ".join(_HIDDEN.sub("", unicodedata.normalize("NFKC", line)).split())
 
 
@@ -58,6 +61,7 @@ class Odds:
 
     def __init__(self, furniture: Counter, body: Counter, least: int = 3) -> None:
         nf, nb = max(1, sum(furniture.values())), max(1, sum(body.values()))
+        self.lines: dict[str, tuple] = {}
         self.of = {
             w: float(np.log((furniture[w] + 0.5) / (nf + 1)) - np.log((body[w] + 0.5) / (nb + 1)))
             for w in furniture.keys() | body.keys() if furniture[w] + body[w] >= least
@@ -77,6 +81,31 @@ class Odds:
         return {*words, "^" + " ".join(words[:2]), words[-1] + "$"} if words else set()
 
 
+def line_features(raw: str, odds: Odds) -> tuple:
+    """What a line says by itself: its numbers, its words and its letters without spaces."""
+    y = clean(raw)
+    words = _WORD.findall(y)
+    low = [w.lower() for w in words]
+    k = len(words)
+    digits = 0
+    for i, w in enumerate(words):
+        if w.isdigit():
+            low[i] = "0"
+            digits += 1
+    link = 0.0
+    if _SEPARATED.search(raw):
+        pieces = [p for p in _PIECE.split(raw.strip()) if p]
+        if len(pieces) >= 3:
+            link = sum(1 for p in pieces if p.count(" ") <= 2) / len(pieces)
+    kinds = set(low)
+    reader = 0 if READER.isdisjoint(kinds) else sum(w in READER for w in low)
+    numbers = (
+        k, len(y), link, bool(_ENDS.search(y[-8:])), bool(_BULLET.match(raw)), digits > 1 and bool(_CLOCK.search(y)),
+        digits / k if k else 0, sum(map(str.istitle, words)) / k if k else 0,
+        bool(_LABEL.match(y)), "©" in raw, reader, *odds.three(low))
+    return numbers, kinds, y.lower().replace(" ", "")
+
+
 def page_features(lines: list[str], title: str | None, site: str | None, odds: Odds) -> np.ndarray:
     """One row of ``FEATURES`` for every non-blank line of a page."""
     n = len(lines)
@@ -85,25 +114,20 @@ def page_features(lines: list[str], title: str | None, site: str | None, odds: O
     host = re.split(r"[.\-_]", site) if site else []
     host = [h for h in host if len(h) >= 5 and h not in ("example", "https")]
     name = max(host, key=len)[:6] if host else None
-    para = np.zeros(n, dtype=bool)
-    for i, raw in enumerate(lines):
-        y = clean(raw)
-        words = _WORD.findall(y)
-        low = _mask(words)
-        k = len(words)
-        pieces = [p for p in _PIECE.split(raw.strip()) if p]
-        short = sum(1 for p in pieces if p.count(" ") <= 2)
-        link = short / len(pieces) if len(pieces) >= 3 else 0.0
-        end = bool(_ENDS.search(y))
-        o, of, ol = odds.three(low)
-        joined = y.lower().replace(" ", "")
-        inter = len(t.intersection(low))
-        x[i, :16] = (
-            k, len(y), link, end, bool(_BULLET.match(raw)), bool(_CLOCK.search(y)),
-            sum(w.isdigit() for w in words) / k if k else 0, sum(w[0].isupper() for w in words) / k if k else 0,
-            bool(_LABEL.match(y)), "©" in raw, sum(w in READER for w in low),
-            bool(name and name in joined), inter / max(len(t), len(set(low))) if t and low else 0, o, of, ol)
-        para[i] = k >= 9 and end and o < 0.5
+    kept = odds.lines
+    rows = []
+    for raw in lines:
+        f = kept.get(raw)
+        if f is None:
+            f = line_features(raw, odds)
+            if len(raw) <= 160:  # furniture repeats; a full memory starts anew and changes no result
+                if len(kept) >= 50_000:
+                    kept.clear()
+                kept[raw] = f
+        v, kinds, joined = f
+        rows.append((*v[:11], name is not None and name in joined, len(t & kinds) / max(len(t), len(kinds)) if t and kinds else 0, *v[11:]))
+    x[:, :16] = rows if rows else np.zeros((0, 16))
+    para = (x[:, 0] >= 9) & (x[:, 3] > 0) & (x[:, 13] < 0.5)
     x[1:, 16], x[:-1, 17] = x[:-1, 0], x[1:, 0]
     x[1:, 18], x[:-1, 19] = x[:-1, 2], x[1:, 2]
     x[1:, 20], x[:-1, 21] = x[:-1, 13], x[1:, 13]
