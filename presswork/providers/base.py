@@ -85,15 +85,16 @@ def gazetteer_mentions(df: DataFrame, body: str, names: dict[str, str], keys: li
     Each name is one native pattern over the text; offsets count characters from 0.
     """
     t = F.coalesce(F.col(body), F.lit(""))
-    parts = []
-    for name, label in sorted(names.items()):
-        found = F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(F.split(t, re.escape(name))) - 2), lambda i: i >= 0),
-            lambda i, name=name, label=label: F.struct(
-                F.lit(name).alias("entity_surface"), F.lit(label).alias("raw_label"), F.lit(1.0).alias("raw_score"),
-                (F.length(F.array_join(F.slice(F.split(t, re.escape(name)), F.lit(1), i + 1), name))).cast("long").alias("char_start")))
-        parts.append(F.when(t.contains(name), found).otherwise(F.array().cast(
-            "array<struct<entity_surface:string,raw_label:string,raw_score:double,char_start:bigint>>")))
+
+    def found(name: str, label: str):
+        pieces = F.split(t, re.escape(name))
+        places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: i >= 0)
+        return F.transform(places, lambda i: F.struct(
+            F.lit(name).alias("entity_surface"), F.lit(label).alias("raw_label"), F.lit(1.0).alias("raw_score"),
+            F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), name)).cast("long").alias("char_start")))
+
+    none = F.array().cast("array<struct<entity_surface:string,raw_label:string,raw_score:double,char_start:bigint>>")
+    parts = [F.when(t.contains(n), found(n, k)).otherwise(none) for n, k in sorted(names.items())]
     out = df.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("m"))
     return out.select(*keys, "m.*", (F.col("m.char_start") + F.length("m.entity_surface")).alias("char_end"))
 
