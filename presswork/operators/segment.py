@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import fixed
 from presswork.functions.text import length_bucket, squeeze, suspect, text
+from presswork.session import spread
 
 
 def blocks_array(c: Column, least: int = fixed.BLOCK_MIN_CHARS, most: int = fixed.BLOCKS_PER_DOC) -> Column:
@@ -14,14 +15,15 @@ def blocks_array(c: Column, least: int = fixed.BLOCK_MIN_CHARS, most: int = fixe
     t = F.btrim(F.regexp_replace(text(c), "\r\n?", "\n"), F.lit(" \t\n\r\f"))
     full = lambda a: F.filter(a, lambda x: F.btrim(x, F.lit(" \t\n\r\f")) != "")
     by_blank = full(F.split(t, r"\n[ \t\r\f\x0b]*\n"))
-    parts = F.when(F.size(by_blank) <= 2, full(F.split(t, "\n"))).otherwise(by_blank)
+    # bound once by the outer transform, so the text is split at blank lines a single time
+    parts = F.transform(F.array(by_blank), lambda b: F.when(F.size(b) <= 2, full(F.split(t, "\n"))).otherwise(b))[0]
     return F.slice(F.filter(F.transform(parts, squeeze), lambda x: F.length(x) >= least), 1, most)
 
 
 def blocks(docs: DataFrame, body: str = "text") -> DataFrame:
     """One row a block: ``block_id`` numbers the kept blocks from 0, ``block_uid`` is ``doc:block``."""
     keep = [c for c in docs.columns if c not in (body, "block_id", "block_uid", "block_text", "block_len")]
-    out = docs.select(*keep, F.posexplode(blocks_array(F.col(body))).alias("block_id", "block_text"))
+    out = spread(docs).select(*keep, F.posexplode(blocks_array(F.col(body))).alias("block_id", "block_text"))
     return out.select(
         *keep, F.col("block_id").cast("long").alias("block_id"),
         F.concat_ws(":", "doc_id", "block_id").alias("block_uid"), "block_text",

@@ -10,7 +10,7 @@ from presswork.session import read
 R = Registry()
 
 _FACTS = """f AS (SELECT l_orderkey AS doc_id, l_orderkey || ':' || l_linenumber AS block_uid,
-  CASE WHEN p_size % 7 = 0 THEN -1 ELSE p_size % 20 END AS topic_id, l_discount * 5.0137 + 0.3071 AS topic_prob, CAST(l_quantity AS BIGINT) AS block_len,
+  CASE WHEN p_size % 7 = 0 THEN -1 ELSE p_size % 20 END AS topic_id, l_discount * 3.141592653589793 + 0.3071 AS topic_prob, CAST(l_quantity AS BIGINT) AS block_len,
   strftime(l_shipdate, '%Y-%m') AS year_month, CAST(l_suppkey % 40 AS VARCHAR) AS domain FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -20,7 +20,7 @@ def facts(spark, sf_dir):
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_orderkey").alias("doc_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("block_uid"),
         F.when(F.col("p_size") % 7 == 0, -1).otherwise(F.col("p_size") % 20).alias("topic_id"),
-        (F.col("l_discount") * 5.0137 + 0.3071).alias("topic_prob"), F.col("l_quantity").cast("long").alias("block_len"),
+        (F.col("l_discount") * 3.141592653589793 + 0.3071).alias("topic_prob"), F.col("l_quantity").cast("long").alias("block_len"),
         F.date_format("l_shipdate", "yyyy-MM").alias("year_month"), (F.col("l_suppkey") % 40).cast("string").alias("domain"))
 
 
