@@ -92,10 +92,13 @@ def cell_report(pool: DataFrame, plans: DataFrame, unit: str = "sample_id",
     """Calibrated inclusion probability and gap for every plan cell.
 
     The pool is only counted per cell, and only for cells some plan names, so what reaches
-    the driver is bounded by the plan table (checked against ``MAX_PLAN_ROWS``).
+    the driver is bounded by the plan table (checked against ``MAX_PLAN_ROWS``). Plan rows
+    without plan_id, size or share are left out, a null floor is 0; of cells a plan lists
+    twice the larger requirement holds.
     """
     cats = list(cats)
-    p = plans.select("plan_id", "sample_size", *[category(F.col(c)).alias(c) for c in cats],
+    named = plans.where("plan_id is not null and sample_size is not null and target_share is not null")
+    p = named.select("plan_id", "sample_size", *[category(F.col(c)).alias(c) for c in cats],
                      F.col("target_share").cast("double").alias("target_share"),
                      required(F.col("target_share"), F.col("sample_size"), F.col("min_rows")).alias("required"))
     n = p.count()

@@ -54,7 +54,7 @@ def lines_of(news: DataFrame) -> DataFrame:
 
     Rows with a null text, url or doc_id have no lines here.
     """
-    src = news.select("doc_id", site_of(F.col("url")).alias("site"), "text").where(
+    src = news.select(F.col("doc_id").cast("long").alias("doc_id"), site_of(F.col("url")).alias("site"), "text").where(
         F.col("site").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     pairs = F.arrays_zip(line_keys(F.col("text")).alias("key"),
                          F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("variant"))
@@ -112,7 +112,7 @@ def clean_texts(news: DataFrame, min_docs: int = 5, min_share: float = 0.05) ->
     Rows without a site or text pass unchanged; a null text stays null.
     """
     gone = boilerplate_lines(news, min_docs, min_share).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    out = news.join(gone, "doc_id", "left")
+    out = news.select("doc_id", "text").join(gone, "doc_id", "left")
     kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(_gone, cast(i as bigint))), '\n')")
     return out.select(
         "doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),

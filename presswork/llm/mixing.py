@@ -58,12 +58,14 @@ def mix_table(counts: DataFrame, mixes: DataFrame) -> DataFrame:
     """Per mix and source: tokens wanted, tokens at hand, whole copies and the fraction above them.
 
     A repeated (mix, source) adds up its shares and keeps the larger cap. A source without
-    tokens can reach nothing. The table has at most as many rows as ``mixes``.
+    tokens can reach nothing; rows with a null key, share or ratio are left out and a null
+    cap is 0. The table has at most as many rows as ``mixes``.
     """
     total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     per = counts.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    want = mixes.groupBy("mix_id", "source").agg(
+    named = mixes.where("mix_id is not null and source is not null and target_share is not null and budget_ratio is not null")
+    want = named.groupBy("mix_id", "source").agg(
         F.sum("target_share").alias("target_share"), F.max("budget_ratio").alias("budget_ratio"),
         F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
     t = want.join(per, "source", "left").na.fill(0, ["tokens", "docs"]).crossJoin(F.broadcast(total))

@@ -28,7 +28,7 @@ TERMS = 1 << 16
 #: Rank of the subspace per language, subspace iterations, refinements of the centroids.
 RANK, PASSES, REFINE = 32, 2, 3
 #: A term counts if it is in at least MIN_DOCS and MIN_SHARE and at most MAX_SHARE of a language's documents.
-MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 0.0005, 0.30
+MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 0.0005, 0.50
 #: Share of a document's paragraphs that makes a subject, least cosine, least lead over the next subject.
 SHARE, COSINE, LEAD = 1 / 3, 0.15, 0.02
 #: Terms summed in one block.
@@ -304,6 +304,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
 
 
+def _lead(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest similarity of each row and its lead over the next; a single subject leads by itself."""
+    if sim.shape[1] < 2:
+        return sim[:, 0], sim[:, 0]
+    two = np.partition(sim, -2, axis=1)
+    return two[:, -1], two[:, -1] - two[:, -2]
+
+
 def seed_centroids(space: Space, names: list[str], gloss: dict[str, str], tokens: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     """Per language subjects x rank: seed words, glosses and the paragraphs of hand-labelled documents."""
     cents = []
@@ -361,8 +369,8 @@ def refine(space: Space, cents: list[np.ndarray], tokens: DataFrame, rounds: int
                         continue
                     sim = e @ c[lang].T
                     best = sim.argmax(axis=1)
-                    top = np.partition(sim, -2, axis=1)
-                    sure = (top[:, -1] >= COSINE) & (top[:, -1] - top[:, -2] >= 0.1)
+                    top, lead = _lead(sim)
+                    sure = (top >= COSINE) & (lead >= 0.1)
                     np.add.at(sums[lang], best[sure], e[sure])
             for lang, m in enumerate(sums):
                 yield pd.DataFrame({"lang": [np.int32(lang)], "block": [np.int32(0)], "part": [m.tobytes()]})
@@ -395,8 +403,8 @@ def assign(space: Space, cents: list[np.ndarray], names: list[str], tokens: Data
                 e, docs = s.embed(b, lang)
                 sim = e @ c[lang].T
                 best = sim.argmax(axis=1)
-                top = np.partition(sim, -2, axis=1)
-                ok = (top[:, -1] >= COSINE) & (top[:, -1] - top[:, -2] >= LEAD)
+                top, lead = _lead(sim)
+                ok = (top >= COSINE) & (lead >= LEAD)
                 tally = np.zeros((len(own), len(names)))
                 np.add.at(tally, (docs[ok], best[ok]), 1)
                 n = np.bincount(docs, minlength=len(own))
@@ -421,6 +429,8 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
         raise ValueError("more than 10000 subjects")
     names = sorted({r["s"] for r in rows})
     gloss = {r["s"]: r["gloss"] or "" for r in rows}
+    if not names:
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
     tokens = cut(tokenised(documents), "terms")
     space = fit_space(tokens)
     cents = refine(space, seed_centroids(space, names, gloss, tokens, labels), tokens)
