@@ -28,7 +28,8 @@ from presswork.session import spread
 
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f]")
 _PIECE = re.compile(r"\s*[|·•/>»]\s*|\s{2,}|,\s+")
-_SEPARATED = re.compile(r"[|·•/>»,]|\s{2}|\t")
+_SEPARATOR = re.compile(r"[|·•/>»,\t]|\s{2}")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _CLOCK = re.compile(r"\d{1,2}[:h.]\d{2}\b|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 _BULLET = re.compile(r"\s*(?:[-–—*•‣▪◦]|\d{1,2}[.)])\s+")
@@ -71,10 +72,10 @@ class Odds:
         if not words:
             return 0.0, 0.0, 0.0
         get = self.of.get
-        v = [get(w, 0.0) for w in words]
-        known = [x for x in v if x]
-        first = get("^" + " ".join(words[:2]), v[0])
-        return (sum(known) / len(known) if known else 0.0), first, get(words[-1] + "$", v[-1])
+        known = [x for x in map(get, words) if x]
+        first = get("^" + " ".join(words[:2]), get(words[0], 0.0))
+        last = get(words[-1] + "$", get(words[-1], 0.0))
+        return (sum(known) / len(known) if known else 0.0), first, last
 
     @staticmethod
     def keys(words: list[str]) -> set[str]:
@@ -85,15 +86,17 @@ def line_features(raw: str, odds: Odds) -> tuple:
     """What a line says by itself: its numbers, its words and its letters without spaces."""
     y = clean(raw)
     words = _WORD.findall(y)
-    low = [w.lower() for w in words]
+    low = " ".join(words).lower().split(" ") if words else []
     k = len(words)
     digits = 0
-    for i, w in enumerate(words):
-        if w.isdigit():
-            low[i] = "0"
-            digits += 1
+    if _DIGIT.search(y):
+        for i, w in enumerate(words):
+            if w.isdigit():
+                low[i] = "0"
+                digits += 1
     link = 0.0
-    if _SEPARATED.search(raw):
+    marks = len(_SEPARATOR.findall(raw))
+    if marks >= 2 and k <= 8 * (marks + 1):  # pieces of more words on average are prose
         pieces = [p for p in _PIECE.split(raw.strip()) if p]
         if len(pieces) >= 3:
             link = sum(1 for p in pieces if p.count(" ") <= 2) / len(pieces)
@@ -300,35 +303,29 @@ def sentence_furniture(sentences: DataFrame) -> DataFrame:
     sentences in order. Rows with a null id or text are left out.
     """
 
-    def judge(c: Classifier, g: pd.DataFrame) -> list[str]:
-        g = g.drop_duplicates("sent_uid")
-        blocks: dict[int, list] = {}
-        for b, u, t in zip(g["block_id"], g["sent_uid"], g["sentence_text"]):
-            if not _blank(t):
-                blocks.setdefault(b, []).append((u, t))
-        if not blocks:
-            return []
-        flags = c.furniture([([" ".join(t for _, t in v) for v in blocks.values()], g["title"].iloc[0], g["domain"].iloc[0])])[0]
-        return [u for v, f in zip(blocks.values(), flags) if f for u, _ in v]
-
     model = _ship(sentences)
 
+    def judge(c: Classifier, docs: list[tuple[str | None, str | None, dict]]) -> pd.DataFrame:
+        """Furniture among the sentences of whole documents, all classified at once."""
+        flags = c.furniture([([" ".join(v.values()) for v in blocks.values()], title, domain) for title, domain, blocks in docs])
+        out = [u for (_, _, blocks), fs in zip(docs, flags) for v, f in zip(blocks.values(), fs) if f for u in v]
+        return pd.DataFrame({"sent_uid": pd.Series(out, dtype=object)})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value
-        open_: list[pd.DataFrame] = []  # rows of the document that the last batch ended in
+        docs: list[tuple[str | None, str | None, dict]] = []
+        at = object()  # rows come by document; its last one may go on in the next batch
         for b in batches:
-            if not len(b):
-                continue
-            open_.append(b)
-            if b["doc_id"].iloc[-1] == open_[0]["doc_id"].iloc[0]:
-                continue
-            rows = pd.concat(open_) if len(open_) > 1 else b
-            last = rows["doc_id"].to_numpy() == rows["doc_id"].iloc[-1]
-            full, open_ = rows[~last], [rows[last]]
-            out = [u for _, g in full.groupby("doc_id", sort=False) for u in judge(c, g)]
-            yield pd.DataFrame({"sent_uid": pd.Series(out, dtype=object)})
-        if open_:
-            yield pd.DataFrame({"sent_uid": pd.Series(judge(c, pd.concat(open_)), dtype=object)})
+            for d, block, uid, title, domain, t in zip(b["doc_id"], b["block_id"], b["sent_uid"], b["title"], b["domain"], b["sentence_text"]):
+                if d != at:
+                    at = d
+                    docs.append((title, domain, {}))
+                if not _blank(t):
+                    docs[-1][2].setdefault(block, {}).setdefault(uid, t)
+            if len(docs) > 1:
+                yield judge(c, docs[:-1])
+                docs = docs[-1:]
+        yield judge(c, docs)
 
     src = sentences.where("doc_id is not null and sent_uid is not null and sentence_text is not null").select(
         "doc_id", "block_id", "sent_id", "sent_uid", "title", "domain", "sentence_text")
