@@ -48,8 +48,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict:
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.where(F.col("_bad").isNull()).drop("_bad")
+    # parsed from text lines: pruned to no column, a JSON scan would count broken lines too
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.where(F.col("r._bad").isNull()).select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields])
 
 
 def read_json_document(spark: SparkSession, path: str) -> dict:
