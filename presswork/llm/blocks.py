@@ -41,10 +41,11 @@ READER = frozenset(
     "abonnez recevez saisissez tu tus te su nuestro nuestra nos recibe suscríbete escribe".split()
 )
 FEATURES = (
-    "words", "chars", "link", "sentence_end", "bullet", "clock", "digits", "capitals", "label", "copyright", "reader",
-    "site", "title", "odds", "odds_first", "odds_last", "prev_words", "next_words", "prev_link", "next_link", "prev_odds",
-    "next_odds", "paragraphs_before", "paragraphs_after", "gap_before", "gap_after", "depth",
+    "words", "link", "sentence_end", "bullet", "clock", "digits", "capitals", "label", "copyright", "reader", "site", "title",
+    "odds", "odds_first", "odds_last", "prev_words", "next_words", "prev_link", "next_link", "paragraphs_before",
+    "paragraphs_after", "gap_before", "gap_after", "depth",
 )
+_AT = {f: i for i, f in enumerate(FEATURES)}
 
 
 def clean(line: str) -> str:
@@ -103,7 +104,7 @@ def line_features(raw: str, odds: Odds) -> tuple:
     kinds = set(low)
     reader = 0 if READER.isdisjoint(kinds) else sum(w in READER for w in low)
     numbers = (
-        k, len(y), link, bool(_ENDS.search(y[-8:])), bool(_BULLET.match(raw)), digits > 1 and bool(_CLOCK.search(y)),
+        k, link, bool(_ENDS.search(y[-8:])), bool(_BULLET.match(raw)), digits > 1 and bool(_CLOCK.search(y)),
         digits / k if k else 0, sum(map(str.istitle, words)) / k if k else 0,
         bool(_LABEL.match(y)), "©" in raw, reader, *odds.three(low))
     return numbers, kinds, y.lower().replace(" ", "")
@@ -128,23 +129,24 @@ def page_features(lines: list[str], title: str | None, site: str | None, odds: O
                     kept.clear()
                 kept[raw] = f
         v, kinds, joined = f
-        rows.append((*v[:11], name is not None and name in joined, len(t & kinds) / max(len(t), len(kinds)) if t and kinds else 0, *v[11:]))
-    x[:, :16] = rows if rows else np.zeros((0, 16))
-    para = (x[:, 0] >= 9) & (x[:, 3] > 0) & (x[:, 13] < 0.5)
-    x[1:, 16], x[:-1, 17] = x[:-1, 0], x[1:, 0]
-    x[1:, 18], x[:-1, 19] = x[:-1, 2], x[1:, 2]
-    x[1:, 20], x[:-1, 21] = x[:-1, 13], x[1:, 13]
+        rows.append((*v[:10], name is not None and name in joined, len(t & kinds) / max(len(t), len(kinds)) if t and kinds else 0, *v[10:]))
+    own = _AT["odds_last"] + 1
+    x[:, :own] = rows if rows else np.zeros((0, own))
+    col = {f: x[:, i] for f, i in _AT.items()}
+    for f in ("words", "link"):
+        col["prev_" + f][1:], col["next_" + f][:-1] = col[f][:-1], col[f][1:]
+    para = (col["words"] >= 9) & (col["sentence_end"] > 0) & (col["odds"] < 0.5)
     before = np.cumsum(para) - para
-    x[:, 22], x[:, 23] = before, para.sum() - before - para
+    col["paragraphs_before"][:], col["paragraphs_after"][:] = before, para.sum() - before - para
     at = np.flatnonzero(para)
     if len(at):
         i = np.arange(n)
         j = np.searchsorted(at, i, side="left")
-        x[:, 24] = np.where(j > 0, i - at[np.maximum(j - 1, 0)], 99)
-        x[:, 25] = np.where(j < len(at), at[np.minimum(j, len(at) - 1)] - i, 99)
+        col["gap_before"][:] = np.where(j > 0, i - at[np.maximum(j - 1, 0)], 99)
+        col["gap_after"][:] = np.where(j < len(at), at[np.minimum(j, len(at) - 1)] - i, 99)
     else:
-        x[:, 24:26] = 99
-    x[:, 26] = np.arange(n) / max(1, n - 1)
+        col["gap_before"][:] = col["gap_after"][:] = 99
+    col["depth"][:] = np.arange(n) / max(1, n - 1)
     return x
 
 
