@@ -112,3 +112,23 @@ def first_matching(c: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], de
         hit = t.rlike("|".join(patterns))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(default)
+
+
+def keep_row(name: Column, kind: Column, least: int = 2) -> Column:
+    """Whether a row is worth scoring: a real name, no price, promotion, fragment, weak place or weak technology."""
+    s = squeeze(name)
+    k = entity_key(name, camel=False)
+    weak_place = (kind == "government_institution") & ~k.isin(*fixed.PLACES_KEPT) & (
+        k.isin(*fixed.GENERIC_PLACES) | price_like(name) | catalog_like(name))
+    weak_tech = (kind == "technology") & (
+        k.isin(*fixed.WEAK_TECHNOLOGY) | k.rlike(r"^0?\d+ (family|model|models|reasoning model)$") | (k.startswith("ai ") & (F.size(F.split(k, " ")) >= 3)))
+    return (
+        (F.length(s) >= least) & ~price_like(s) & ~catalog_like(s) & ~F.coalesce(fragment_of_person(s, kind), F.lit(False))
+        & ~F.coalesce(weak_place, F.lit(False)) & ~F.coalesce(weak_tech, F.lit(False)))
+
+
+def displayable(name: Column) -> Column:
+    """Whether a name may be shown in rankings."""
+    n = text(name)
+    marks = r"(?i)(^|[^\p{L}\p{N}_])(booth|token|presale|market|startup|fintech|valued company)([^\p{L}\p{N}_]|$)"
+    return ~(n.rlike(r"^\s*[#$+]") | n.rlike(r"^\s*[0-9]{2}[A-Za-z]{2}") | n.rlike(marks) | n.rlike("[0-9]{4,}")) & ~entity_key(name, camel=False).isin(*fixed.WEAK_TECHNOLOGY)

@@ -124,3 +124,15 @@ def group_split(df: DataFrame, group: str, label: str, share: float, seed: int =
     w = Window.partitionBy("stratum").orderBy(draw_key(group, seed=seed), group)
     return s.join(F.broadcast(k), "stratum").withColumn(
         "split", F.when(F.row_number().over(w) <= F.col("_k"), "valid").otherwise("train")).drop("_k")
+
+
+def two_pools(df: DataFrame, strata: list[str], key: str, total: int, special: Column, share: float, seed: int = 42) -> DataFrame:
+    """A general stratified pool and one of special rows only, united, each key once, at most ``total`` rows.
+
+    Both quotas are allocated over the rows they draw from, so neither stays unfilled.
+    """
+    rest = df.where(special)
+    general = stratified_sample(df, strata, key, allocation(df, strata, round(total * (1 - share))), seed)
+    extra = stratified_sample(rest, strata, key, allocation(rest, strata, round(total * share)), seed + 1)
+    both = general.unionByName(extra).dropDuplicates([key])
+    return simple_sample(both, key, total, seed)

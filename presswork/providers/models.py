@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 def fit_classifier(train: DataFrame, body: str, label: str, weight: str | None = None, features: int = 1 << 14) -> PipelineModel:
     """Bag-of-words logistic regression; two or more classes, optional row weights."""
-    lr = LogisticRegression(featuresCol="x", labelCol=label, maxIter=30, regParam=0.01)
+    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=30, regParam=0.01)
     if weight:
         lr = lr.setWeightCol(weight)
     stages = [
-        RegexTokenizer(inputCol=body, outputCol="w", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="w", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="x", minDocFreq=2), lr,
+        RegexTokenizer(inputCol=body, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_x", minDocFreq=2), lr,
     ]
     return Pipeline(stages=stages).fit(train)
 
@@ -57,11 +57,28 @@ def project_plane(df: DataFrame, vector: str) -> DataFrame:
 
 def ngram_vocabulary(df: DataFrame, body: str, min_df: float, max_df: float, stop: list[str] | None = None) -> DataFrame:
     """(term, n): 1- to 3-grams without stop words, within document frequency bounds."""
-    clean = StopWordsRemover(inputCol="w", outputCol="s", stopWords=stop or StopWordsRemover.loadDefaultStopWords("english"))
+    clean = StopWordsRemover(inputCol="_words", outputCol="s", stopWords=stop or StopWordsRemover.loadDefaultStopWords("english"))
     grams = [NGram(n=n, inputCol="s", outputCol=f"g{n}") for n in (1, 2, 3)]
-    pre = Pipeline(stages=[RegexTokenizer(inputCol=body, outputCol="w", pattern=r"[^\p{L}\p{N}]+"), clean, *grams])
+    pre = Pipeline(stages=[RegexTokenizer(inputCol=body, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), clean, *grams])
     d = df.where(F.col(body).isNotNull())
     t = pre.fit(d).transform(d).select(F.concat("g1", "g2", "g3").alias("terms"))
     vocab = CountVectorizer(inputCol="terms", outputCol="c", minDF=min_df, maxDF=max_df, binary=True).fit(t).vocabulary
     spark = df.sparkSession
     return spark.createDataFrame([(w, i) for i, w in enumerate(vocab)], "term string, place long")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def fit_embedder(df: DataFrame, body: str, size: int = 64) -> PipelineModel:
+    """Unit document vectors: hashed, idf-weighted words projected on principal components."""
+    stages = [
+        RegexTokenizer(inputCol=body, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << 10),
+        IDF(inputCol="_tf", outputCol="_x"), PCA(k=size, inputCol="_x", outputCol="_p"), Normalizer(inputCol="_p", outputCol="embedding"),
+    ]
+    return Pipeline(stages=stages).fit(df)
