@@ -24,13 +24,10 @@ def threshold_audit(scored: DataFrame, label: str, score: str, low: float, high:
         F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q"))
     spark = scored.sparkSession
     g = spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "i int, threshold double")
-    one = per.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("p", "q")))).alias("m"))  # one entry a step
-    items = F.map_values("m")
-    keys = F.map_keys("m")
+    one = per.agg(F.collect_list(F.struct("k", "p", "q")).alias("steps"))  # at most one entry a step and one below all
     over = lambda f, test: F.aggregate(
-        F.arrays_zip(keys.alias("k"), items.alias("v")), F.lit(0).cast("long"),
-        lambda acc, e: acc + F.when(test(e["k"]), e["v"][f]).otherwise(0))
-    out = g.crossJoin(F.broadcast(one)).select(
+        F.col("steps"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(test(e["k"]), e[f]).otherwise(0))
+    out = g.withColumn("steps", one.scalar()).select(
         "threshold", over("p", lambda k: k >= F.col("i")).alias("tp"), over("q", lambda k: k >= F.col("i")).alias("fp"),
         over("p", lambda k: k < F.col("i")).alias("fn"), over("q", lambda k: k < F.col("i")).alias("tn"))
     precision, recall = _safe(F.col("tp"), F.col("tp") + F.col("fp")), _safe(F.col("tp"), F.col("tp") + F.col("fn"))

@@ -51,9 +51,8 @@ def histogram(df: DataFrame, column: str, bins: int, clip: float | None = None,
     c = F.col(column).cast("double")
     x = df.where(c.isNotNull()).select((F.log1p(c) if log else c).alias("x"))
     if clip is not None:
-        top = x.agg(F.percentile("x", clip).alias("_top"))
-        x = x.crossJoin(F.broadcast(top)).where("x <= _top").select("x")
-    edge = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("long")
-    return x.crossJoin(F.broadcast(edge)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        x = x.where(F.col("x") <= x.agg(F.percentile("x", clip)).scalar())
+    lo, hi = x.agg(F.min("x")).scalar(), x.agg(F.max("x")).scalar()
+    width = (hi - lo) / bins
+    b = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))).cast("long")
+    return x.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -24,8 +24,7 @@ def simple_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def strata_weights(df: DataFrame, strata: list[str]) -> DataFrame:
     """Rows and share of each stratum; the total is one number, not a join of the rows."""
     n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = n.agg(F.sum("n_rows").alias("_t"))
-    return n.crossJoin(F.broadcast(total)).select(*strata, "n_rows", (F.col("n_rows") / F.col("_t")).alias("weight"))
+    return n.select(*strata, "n_rows", (F.col("n_rows") / n.agg(F.sum("n_rows")).scalar()).alias("weight"))
 
 
 def largest_remainder(weights: list[float], total: int) -> list[int]:

@@ -63,10 +63,10 @@ def evidence(df: DataFrame, key: str) -> DataFrame:
     si = F.col("prob_positive_mean") - F.col("prob_negative_mean")
     dc = 1 - F.col("prob_mixed_or_unclear_mean")
     ev = F.log1p("n_docs") * dc
-    total = g.agg(F.sum("n_docs").alias("_t"))
-    return g.crossJoin(F.broadcast(total)).select(
+    total = g.agg(F.sum("n_docs")).scalar()
+    return g.select(
         key, "n_rows", "n_docs", si.alias("sentiment_index"), ev.alias("evidence_score"), (ev * si).alias("impact"),
-        (F.col("n_docs") / F.col("_t")).alias("coverage_share"))
+        (F.col("n_docs") / total).alias("coverage_share"))
 
 
 def exposure(df: DataFrame, key: str) -> DataFrame:
@@ -74,10 +74,10 @@ def exposure(df: DataFrame, key: str) -> DataFrame:
     g = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count_distinct("doc_id").alias("n_docs"), F.avg("confidence").alias("mean_confidence"),
         F.avg(F.col("prob_positive") - F.col("prob_negative")).alias("mean_sentiment"))
-    total = g.agg(F.sum("n_docs").alias("_t"))
-    return g.crossJoin(F.broadcast(total)).select(
+    total = g.agg(F.sum("n_docs")).scalar()
+    return g.select(
         key, "n_docs", "mean_confidence", "mean_sentiment",
-        (0.5 * F.col("n_docs") / F.col("_t") + 0.3 * F.col("mean_confidence") + 0.2 * F.abs("mean_sentiment")).alias("exposure_score"))
+        (0.5 * F.col("n_docs") / total + 0.3 * F.col("mean_confidence") + 0.2 * F.abs("mean_sentiment")).alias("exposure_score"))
 
 
 def rolling_mean(df: DataFrame, by: list[str], order: str, value: str, rows: int = 3) -> DataFrame:

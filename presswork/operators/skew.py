@@ -12,8 +12,7 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     One map-side combined count, so the hottest key costs one partial row a task.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.groupBy().agg(F.sum("_n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.col("_total") * share).select(*keys)
+    return counts.where(F.col("_n") >= counts.agg(F.sum("_n")).scalar() * share).select(*keys)
 
 
 def salted_aggregate(

@@ -212,8 +212,7 @@ def top_k_tier(spark, sf_dir):
 )
 def value_counts_normalised(spark, sf_dir):
     g = read(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = g.agg(F.sum("n").alias("_t"))
-    return g.crossJoin(F.broadcast(total)).select("lang", "n", F.round(F.col("n") / F.col("_t"), 9).alias("share"))
+    return g.select("lang", "n", F.round(F.col("n") / g.agg(F.sum("n")).scalar(), 9).alias("share"))
 
 
 @R.query(

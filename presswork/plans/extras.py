@@ -92,7 +92,7 @@ def label_map_json(spark, sf_dir):
 def schema_profile(spark, sf_dir):
     df = read(spark, sf_dir, "news_final_project")
     cols = spark.createDataFrame([(c, t) for c, t in df.dtypes if c != "ingested_at"], "column_name string, data_type string")
-    return cols.crossJoin(df.agg(F.count(F.lit(1)).alias("n_rows")))
+    return cols.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 _IN = "SELECT domain, final_type, count(DISTINCT doc_id) AS n FROM entity_contexts_final GROUP BY 1, 2"

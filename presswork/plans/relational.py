@@ -119,7 +119,7 @@ def reply_parse(spark, sf_dir):
 def median_fill(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("b"))
     m = c.agg(F.coalesce(F.median("b"), F.lit(0.0)).alias("m"))
-    return c.crossJoin(F.broadcast(m)).select("c_custkey", F.coalesce("b", "m").alias("c_acctbal"))
+    return c.select("c_custkey", F.coalesce(F.col("b"), m.scalar()).alias("c_acctbal"))
 
 
 @R.query("bubble_sizes", """WITH g AS (SELECT s_nationkey, count(*) AS n, avg(s_acctbal) AS b FROM supplier GROUP BY 1)
@@ -127,10 +127,10 @@ SELECT s_nationkey, round(CASE WHEN max(n) OVER () = min(n) OVER () THEN 100 ELS
   round(n / max(n) OVER (), 6) AS relative, bround_b AS balance FROM (SELECT *, round_even(b, 2) AS bround_b FROM g)""")
 def bubble_sizes(spark, sf_dir):
     g = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("b"))
-    e = g.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    return g.crossJoin(F.broadcast(e)).select(
-        "s_nationkey", F.round(F.when(F.col("hi") == F.col("lo"), 100.0).otherwise(100 + 900 * (F.col("n") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 6).alias("size"),
-        F.round(F.col("n") / F.col("hi"), 6).alias("relative"), F.bround("b", 2).alias("balance"))
+    lo, hi = g.agg(F.min("n")).scalar(), g.agg(F.max("n")).scalar()
+    return g.select(
+        "s_nationkey", F.round(F.when(hi == lo, 100.0).otherwise(100 + 900 * (F.col("n") - lo) / (hi - lo)), 6).alias("size"),
+        F.round(F.col("n") / hi, 6).alias("relative"), F.bround("b", 2).alias("balance"))
 
 
 @R.query("except_all_plan", "SELECT doc_id FROM news_final_project EXCEPT ALL SELECT doc_id FROM sentences")

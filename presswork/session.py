@@ -71,6 +71,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Large inputs already come in many splits and are left alone (no shuffle).
     """
     want = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already shuffled; asking it for partitions would run those stages
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *[F.col(k) for k in keys]) if keys else df.repartition(want)
