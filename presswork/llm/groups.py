@@ -210,7 +210,7 @@ def split_report(splits: DataFrame, shares: tuple[tuple[str, float], ...] = (("t
     spark = splits.sparkSession
     want = spark.createDataFrame(list(shares), "split string, target_share double")
     got = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("group_key").alias("n_groups"))
-    total = splits.agg(F.count(F.lit(1)).alias("_n"))
-    return want.join(got, "split", "left").na.fill(0).crossJoin(F.broadcast(total)).select(
+    total = got.agg(F.sum("n_samples")).scalar()
+    return want.join(got, "split", "left").na.fill(0).select(
         "split", "target_share", "n_samples", "n_groups",
-        F.coalesce(F.try_divide("n_samples", "_n"), F.lit(0.0)).alias("actual_share"))
+        F.coalesce(F.try_divide(F.col("n_samples"), total), F.lit(0.0)).alias("actual_share"))

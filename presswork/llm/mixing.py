@@ -61,15 +61,15 @@ def mix_table(counts: DataFrame, mixes: DataFrame) -> DataFrame:
     tokens can reach nothing; rows with a null key, share or ratio are left out and a null
     cap is 0. The table has at most as many rows as ``mixes``.
     """
-    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
     per = counts.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     named = mixes.where("mix_id is not null and source is not null and target_share is not null and budget_ratio is not null")
     want = named.groupBy("mix_id", "source").agg(
         F.sum("target_share").alias("target_share"), F.max("budget_ratio").alias("budget_ratio"),
         F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
-    t = want.join(per, "source", "left").na.fill(0, ["tokens", "docs"]).crossJoin(F.broadcast(total))
-    target = F.col("target_share") * F.col("budget_ratio") * F.col("total")
+    t = want.join(per, "source", "left").na.fill(0, ["tokens", "docs"])
+    target = F.col("target_share") * F.col("budget_ratio") * total
     reach = F.least(target, F.col("max_repeats") * F.col("tokens"))
     copies = F.coalesce(F.try_divide(reach, F.col("tokens")), F.lit(0.0))
     return t.select(

@@ -197,6 +197,5 @@ def p9_found(spark, sf_dir):
 def p9_composition(spark, sf_dir):
     """Documents of each subject and their share of all documents that have one."""
     s = cut(_subjects(spark, sf_dir), "subjects")
-    total = s.agg(F.count_distinct("doc_id").alias("n"))
-    return s.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("share").alias("mean_share")).crossJoin(
-        F.broadcast(total)).select("subject", "n_docs", "mean_share", (F.col("n_docs") / F.col("n")).alias("doc_share"))
+    total = s.agg(F.count_distinct("doc_id")).scalar()
+    return s.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("share").alias("mean_share")).withColumn("doc_share", F.col("n_docs") / total)
