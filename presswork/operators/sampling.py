@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.operators.tables import top_n
+from presswork.operators.tables import dense_ids, null_safe_join, top_n
 
 #: Strata whose sizes may be brought to the driver.
 MAX_STRATA = 100_000
@@ -76,11 +76,30 @@ def allocation(df: DataFrame, strata: list[str], total: int, rule=largest_remain
     return df.sparkSession.createDataFrame([(*[r[s] for s in strata], r["n_rows"], g) for r, g in zip(rows, got)], schema)
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """The first ``target`` rows of each stratum by hash order; strata without a target give none."""
-    t = F.broadcast(targets.select(*strata, "target"))  # one row a stratum, bounded above
-    w = Window.partitionBy(*strata).orderBy(draw_key(key, seed=seed), key)
-    return df.join(t, strata).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("target")).drop("_rn", "target")
+def stratified_sample(df: DataFrame, strata: list[str], key: str, targets: DataFrame, seed: int = 42, salts: int = 32) -> DataFrame:
+    """The first ``target`` rows of each stratum by hash order; strata without a target give none.
+
+    Taken in two exact steps: the first rows of each of ``salts`` parts of a stratum, then
+    the first of those. A stratum that holds most rows is thus sorted by many tasks.
+    """
+    t = F.broadcast(targets.select(*strata, F.col("target").alias("_target")))  # one row a stratum, bounded above
+    order = [draw_key(key, seed=seed), F.col(key)]
+    part = F.pmod(F.xxhash64(key), F.lit(salts)).alias("_part")
+    first = lambda d, by: d.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn <= _target").drop("_rn")
+    return first(first(df.select("*", part).join(t, strata), [*strata, "_part"]), strata).drop("_part", "_target")
+
+
+def ranked(df: DataFrame, strata: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rank from 1 of each row in its stratum, without gathering a stratum in one task.
+
+    Rows are numbered over all strata by a parallel range sort; a stratum's rank starts at
+    its smallest number.
+    """
+    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    numbered = dense_ids(keyed, [*strata, *[f"_o{i}" for i in range(len(order))]], "_id")
+    start = numbered.groupBy(*strata).agg(F.min("_id").alias("_start"))
+    on = null_safe_join(numbered, start, strata)
+    return on.withColumn(name, F.col("_id") - F.col("_start") + 1).drop("_id", "_start", *[f"_o{i}" for i in range(len(order))])
 
 
 def capped_sample(df: DataFrame, entity: list[str], key: str, cap: int, total: int, seed: int = 42) -> DataFrame:
@@ -103,10 +122,9 @@ def quota_pool(df: DataFrame, tier: str, entity: list[str], key: str, total: int
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, seed: int = 42) -> DataFrame:
     """``split`` is valid for the rounded share of each stratum in hash order, else train."""
-    w = Window.partitionBy(*strata).orderBy(draw_key(key, seed=seed), key)
     n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    on = df.join(n, strata)
-    return on.withColumn("split", F.when(F.row_number().over(w) <= F.bround(F.col("_n") * share, 0), "valid").otherwise("train")).drop("_n")
+    on = null_safe_join(ranked(df, strata, [draw_key(key, seed=seed), F.col(key)], "_rank"), n, strata)
+    return on.withColumn("split", F.when(F.col("_rank") <= F.bround(F.col("_n") * share, 0), "valid").otherwise("train")).drop("_n", "_rank")
 
 
 def group_split(df: DataFrame, group: str, label: str, share: float, seed: int = 42) -> DataFrame:

@@ -127,3 +127,15 @@ def test_group_split_leaks_nothing(spark):
     s = sampling.group_split(df, "g", "l", 0.18)
     assert s.count() == 90 and s.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert 10 <= s.where("split = 'valid'").count() <= 22
+
+
+def test_ranks_and_two_step_samples_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, None).otherwise("c").alias("s"))
+    w = Window.partitionBy("s").orderBy(sampling.draw_key("k"), "k")
+    want = {r["k"]: r["n"] for r in df.withColumn("n", F.row_number().over(w)).collect()}
+    assert {r["k"]: r["n"] for r in sampling.ranked(df, ["s"], [sampling.draw_key("k"), F.col("k")], "n").collect()} == want
+    t = spark.createDataFrame([("hot", 33), ("c", 500)], "s string, target long")
+    got = {r["k"] for r in sampling.stratified_sample(df, ["s"], "k", t).collect()}
+    assert got == {r["k"] for r in df.where("s is not null").collect() if want[r["k"]] <= (33 if r["s"] == "hot" else 500)}
