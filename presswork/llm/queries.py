@@ -75,7 +75,14 @@ def p2_found(spark, sf_dir):
     return lines.boilerplate_lines(read(spark, sf_dir, "news_final_project"))
 
 
-@R.query("p2_clean")
+@R.query(
+    "p2_clean",
+    _P2 + """, gone AS (SELECT DISTINCT doc_id, line_no FROM keyed JOIN rep USING (site, key)),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM keyed ANTI JOIN gone USING (doc_id, line_no) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(t, '') END AS text, coalesce(n_removed, 0) AS n_removed
+FROM news_final_project d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
 def p2_clean(spark, sf_dir):
     return lines.clean_texts(read(spark, sf_dir, "news_final_project"))
 
@@ -134,8 +141,7 @@ def p6_found(spark, sf_dir):
 @R.query("p6_groups")
 def p6_groups(spark, sf_dir):
     """Every spelling with the group it belongs to."""
-    g = names.name_groups(read(spark, sf_dir, "entity_mentions_raw"))
-    return g.select(F.md5(F.array_join("members", "\n")).alias("group_id"), "root", F.explode("members").alias("entity_surface"))
+    return names.membership(names.name_groups(read(spark, sf_dir, "entity_mentions_raw")))
 
 
 # ---------------------------------------------------------------- 7: evaluation leaks
