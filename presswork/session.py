@@ -78,6 +78,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *[F.col(k) for k in keys]) if keys else df.repartition(want)
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread few bytes that cost much Python time over all cores.
+
+    The fixed number keeps adaptive execution from joining the partitions by their size.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
