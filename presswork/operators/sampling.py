@@ -51,6 +51,19 @@ def largest_remainder(weights: list[float], total: int) -> list[int]:
     return base
 
 
+def nearest_fraction(weights: list[float], total: int) -> list[int]:
+    """As above, but the stratum of least weight above 1 gives first, and each missing row goes to the one now furthest below its share."""
+    raw = [w * total for w in weights]
+    base = [max(1, math.floor(x)) for x in raw]
+    while sum(base) > total and any(b > 1 for b in base):
+        i = min((i for i in range(len(base)) if base[i] > 1), key=lambda j: (weights[j], j))
+        base[i] -= 1
+    while base and sum(base) < total:
+        i = max(range(len(base)), key=lambda j: (raw[j] - base[j], -j))
+        base[i] += 1
+    return base
+
+
 def rounded_with_floor(weights: list[float], total: int, floor: int = 20) -> list[int]:
     """Half-even rounded shares, at least ``floor``; the largest stratum absorbs the difference while above the floor."""
     base = [max(floor, round(w * total)) for w in weights]

@@ -147,13 +147,13 @@ def keyword_matrix(spark, sf_dir):
     "model_inputs",
     f"""SELECT DISTINCT sample_id, 'Target entity: ' || {S.squeeze('canonical_entity')} || chr(10) || 'Entity type: ' || {S.squeeze('final_type')} || chr(10)
   || CASE WHEN {S.squeeze('title')} <> '' THEN 'Document title: ' || {S.squeeze('title')} || chr(10) ELSE '' END
-  || CASE WHEN {S.squeeze('domain')} <> '' THEN 'Source domain: ' || {S.squeeze('domain')} || chr(10) ELSE '' END || 'Context: ' || left({S.squeeze('context_text')}, 100) AS model_input FROM sentiment_training_data""",
+  || CASE WHEN {S.squeeze('domain')} <> '' THEN 'Source domain: ' || {S.squeeze('domain')} || chr(10) ELSE '' END || 'Context: ' || CASE WHEN length({S.squeeze('context_text')}) > 1400 THEN rtrim(left({S.squeeze('context_text')}, 1400)) || ' ...' ELSE {S.squeeze('context_text')} END AS model_input FROM sentiment_training_data""",
 )
 def model_inputs(spark, sf_dir):
     f = lambda c: text.squeeze(F.col(c))
     m = text.labelled_input([
         ("Target entity", f("canonical_entity"), False), ("Entity type", f("final_type"), False), ("Document title", f("title"), True),
-        ("Source domain", f("domain"), True), ("Context", F.left(f("context_text"), F.lit(100)), False)])
+        ("Source domain", f("domain"), True), ("Context", text.compact(F.col("context_text"), fixed.CONTEXT_CHARS), False)])
     return read(spark, sf_dir, "sentiment_training_data").select("sample_id", m.alias("model_input")).distinct()
 
 

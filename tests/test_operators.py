@@ -51,6 +51,8 @@ def test_allocations_add_up(sizes, total):
     w = [s / sum(sizes) for s in sizes]
     a = sampling.largest_remainder(w, total)
     assert min(a) >= 1 and sum(a) == max(total, len(w)) and a == sampling.largest_remainder(w, total)
+    c = sampling.nearest_fraction(w, total)
+    assert min(c) >= 1 and sum(c) == max(total, len(w))
     b = sampling.rounded_with_floor(w, total, 2)
     assert min(b) >= 2 and sum(b) >= total
 
