@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.session import cut
+from presswork.session import cut, spread
 
 #: Characters without width that a line may carry unseen, as a Java class (fixed values).
 INVISIBLE = r"[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f]"
@@ -58,7 +58,7 @@ def lines_of(news: DataFrame) -> DataFrame:
         F.col("site").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     pairs = F.arrays_zip(line_keys(F.col("text")).alias("key"),
                          F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("variant"))
-    each = src.select("doc_id", "site", F.posexplode(pairs).alias("line_no", "l")).where(F.col("l.key").rlike("[^ ]"))
+    each = spread(src).select("doc_id", "site", F.posexplode(pairs).alias("line_no", "l")).where(F.col("l.key").rlike("[^ ]"))
     return each.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "site",
         *_hash2(F.trim("l.key"), "k"), F.col("l.variant").alias("variant"),
