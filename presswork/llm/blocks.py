@@ -153,7 +153,7 @@ def page_features(lines: list[str], title: str | None, site: str | None, odds: O
 class Tree:
     """A binary decision tree grown by Gini impurity; deterministic for a given table."""
 
-    def __init__(self, depth: int = 12, leaf: int = 4) -> None:
+    def __init__(self, depth: int = 12, leaf: int = 8) -> None:
         self.depth, self.leaf = depth, leaf
         self.feature: list[int] = []
         self.cut: list[float] = []
