@@ -149,17 +149,19 @@ def pivotal(prob: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def draw(pool: DataFrame, plans: DataFrame, unit: str = "sample_id",
-         cats: tuple[str, ...] = ("final_type", "entity_doc_bucket"), seed: int = 42, block: int = BLOCK) -> DataFrame:
+         cats: tuple[str, ...] = ("final_type", "entity_doc_bucket"), seed: int = 42, block: int = BLOCK,
+         cells: pd.DataFrame | None = None) -> DataFrame:
     """The units drawn for every plan: plan_id, unit, categories and inclusion probability.
 
     Units with probability 1 are taken as they are; the others meet in pivotal blocks of
     about ``block`` units of one plan cell. Each block leaves at most one undecided unit,
     and the undecided ones meet again, until one block a cell remains. A cell of any size,
     and one that holds most of the pool, is thus split over many tasks. Draws repeat for
-    a given ``seed``. An empty pool or plan table gives no rows.
+    a given ``seed``. An empty pool or plan table gives no rows. ``cells`` saves the count
+    where :func:`cell_report` was already asked.
     """
     cats = list(cats)
-    cells = cell_report(pool, plans, unit, tuple(cats))
+    cells = cell_report(pool, plans, unit, tuple(cats)) if cells is None else cells
     cells = cells[cells["prob"] > 0].drop_duplicates(["plan_id", *cats])
     spark = pool.sparkSession
     schema = "plan_id long, " + ", ".join(f"{c} string" for c in cats) + ", prob double, blocks long"
@@ -203,8 +205,8 @@ def report(pool: DataFrame, plans: DataFrame, unit: str = "sample_id",
            cats: tuple[str, ...] = ("final_type", "entity_doc_bucket"), seed: int = 42) -> DataFrame:
     """Per plan cell: wanted, available and drawn rows, shares, and the rows it falls short."""
     cats = list(cats)
-    drawn = draw(pool, plans, unit, tuple(cats), seed).groupBy("plan_id", *cats).agg(F.count(F.lit(1)).alias("drawn"))
     cells = cell_report(pool, plans, unit, tuple(cats))
+    drawn = draw(pool, plans, unit, tuple(cats), seed, cells=cells).groupBy("plan_id", *cats).agg(F.count(F.lit(1)).alias("drawn"))
     spark = pool.sparkSession
     schema = ("plan_id long, " + ", ".join(f"{c} string" for c in cats)
               + ", target_share double, required long, available long")
