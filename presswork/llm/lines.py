@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from presswork.session import cut, spread
 
-#: Characters without width that a line may carry unseen, as a Java class (fixed values).
-INVISIBLE = r"[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f]"
+#: Characters without width that a line may carry unseen, as a Java pattern (fixed values).
+#: The look-ahead turns plain text away before the class is searched.
+INVISIBLE = r"(?![ -~\n])[\u00ad\u180e\u200b-\u200f\u2060\ufeff]"
 #: White space other than the plain space and the line end, no-break kinds included (fixed values).
-ODD_SPACE = r"\t\r\f\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_SPACE = r"\t\x0b-\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def site_of(url: Column) -> Column:
@@ -33,7 +34,7 @@ def line_keys(text: Column) -> Column:
     The text is normalised as a whole, then split: few long regex runs instead of many short ones.
     """
     t = F.regexp_replace(F.lower(text), INVISIBLE, "")
-    t = F.regexp_replace(t, f" *[{ODD_SPACE}][ {ODD_SPACE}]*| {{2,}}", " ")
+    t = F.regexp_replace(t, f"(?![!-~\\n])(?: [ {ODD_SPACE}]+|[{ODD_SPACE}][ {ODD_SPACE}]*)", " ")
     t = F.regexp_replace(F.replace(t, F.lit("\u00df"), F.lit("ss")), "[0-9]+", "0")
     return F.split(t, "\n")
 
