@@ -74,3 +74,10 @@ def test_remembering_lines_changes_nothing():
 def test_empty(spark):
     e = spark.createDataFrame([], NEWS)
     assert B.page_furniture(e).count() == 0 and B.found(e, spark.createDataFrame([], SENT)).count() == 0
+
+
+def test_a_very_long_page_and_repeated_rows(spark):
+    long = "\n".join(["Tasfembor Robotics trained machine learning on an old campus library from Eastmere, and more may follow."] * 20_000 + ["© 2024 Paper. All rights reserved."])
+    df = spark.createDataFrame([(1, None, None, long, None, None)] * 2, NEWS)
+    got = B.page_furniture(df).collect()
+    assert {(r["doc_id"], r["line_no"]) for r in got} == {(1, 20_000)} and len(got) == 2

@@ -73,3 +73,15 @@ def test_subspace_matches_a_full_decomposition(spark):
     s = np.linalg.svd(a, compute_uv=False)
     kept = np.linalg.norm(a @ space.q[0]) ** 2
     assert kept > 0.97 * (s[:space.q[0].shape[1]] ** 2).sum()
+
+
+def test_long_documents_repeated_texts_and_ties(spark):
+    r = random.Random(3)
+    docs, truth = corpus(90)
+    docs.append((2000, "\n".join(sentence(r, "energy") for _ in range(5000)), "xx", None, None))
+    tie = "\n".join(sentence(r, s) for s in ("law", "sport", "energy"))  # a third each: all three count
+    docs += [(2001, tie, None, None, None), (2002, tie, None, None, None)]
+    got = {}
+    for d, s, _ in run(spark, docs, [(1, "law", "a", "t")]).collect():
+        got.setdefault(d, set()).add(s)
+    assert got[2000] == {"energy"} and got[2001] == got[2002] == {"law", "sport", "energy"}
