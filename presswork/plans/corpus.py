@@ -202,7 +202,7 @@ def dense_doc_ids(spark, sf_dir):
 SELECT CASE WHEN source IN (FROM t) THEN source ELSE 'other' END AS domain_tier, count(*) AS n FROM documents GROUP BY 1""",
 )
 def top_k_tier(spark, sf_dir):
-    d = tables.top_tier(read(spark, sf_dir, "documents"), "source", 8, "domain_tier")
+    d = tables.top_tier(read(spark, sf_dir, "documents"), "source", fixed.TOP_DOMAINS, "domain_tier")
     return d.groupBy("domain_tier").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -96,7 +96,7 @@ def entity_candidates(spark, sf_dir):
         F.col("final_type").isin(*fixed.ANALYSIS_TYPES) & ~F.coalesce("is_news_source", F.lit(False)) & ~F.coalesce("is_numeric_junk", F.lit(False))
         & ((F.col("n_docs") >= fixed.CANDIDATE_MIN_DOCS) | (F.col("n_rows") >= fixed.CANDIDATE_MIN_ROWS))
         & ~F.lower("canonical_entity").rlike(r"^#|^\$|\d{3,}|(^|[^a-z0-9_])booth([^a-z0-9_]|$)"))
-    return c.withColumn("p", p).orderBy(F.desc(F.round("p", 9)), "canonical_entity", "final_type").limit(150).select(
+    return c.withColumn("p", p).orderBy(F.desc(F.round("p", 9)), "canonical_entity", "final_type").limit(fixed.CANDIDATES).select(
         "canonical_entity", "final_type", "n_docs", "n_rows", "n_domains", F.round("p", 6).alias("priority"))
 
 
