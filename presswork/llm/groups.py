@@ -20,6 +20,8 @@ from presswork.session import cut, forget
 BIG = 2_000
 #: Small components are placed in blocks of about this many.
 BLOCK = 50_000
+#: Edges of one node that one task may join; a node with more is spread.
+HOT = 1_000_000
 #: Distinct label values a stratification may use.
 MAX_LABELS = 1_000
 #: Sorts behind every entity key; marks records without an entity (fixed value).
@@ -59,35 +61,52 @@ def _edges(ties: DataFrame) -> DataFrame:
         F.col("node").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_low(rows: DataFrame, low: DataFrame, hot: int) -> DataFrame:
+    """``rows`` joined with the one row of ``low`` for their ``u``; the many rows of a hub are spread over salts.
+
+    There can be no more hubs than one for each ``hot`` edges, so their table is small.
+    """
+    hubs = low.where(F.col("n") > hot).select("u", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    salted = rows.join(F.broadcast(hubs), "u", "left").withColumn(
+        "salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))).drop("salts")
+    each = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1)).alias("salt"))
+    return salted.join(each, ["u", "salt"]).drop("salt")
+
+
+def _large_star(e: DataFrame, hot: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    return _with_low(both.where(F.col("v") > F.col("u")), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    rest = e.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, hot: int) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    rest = _with_low(e, low, hot).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _settled(e: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: the edges are stars."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("x"))
+    return ends.groupBy("x.node").agg(F.sum("x.out").alias("n"), F.min("x.out").alias("low")).where(
+        (F.col("n") > 1) | ((F.col("n") > 0) & (F.col("low") == 0))).isEmpty()
+
+
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
-    Each round is written to the shared folder, so lost executors cost one round at most.
+    Each round is written to the shared folder, so lost executors cost one round at most;
+    the rounds end when the edges are stars, after a number that grows with the logarithm
+    of the longest chain. The result reads a table that :func:`forget` can delete.
     """
-    e = cut(edges, "edges")
-    before = None
-    for _ in range(max_rounds):
-        nxt = cut(_small_star(_large_star(e)), "edges")
-        # Sum of hashes and count stand for the set: equal when the stars no longer change.
-        now = tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    e = cut(edges.where("u > v").unionByName(edges.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    while not _settled(e):
+        nxt = cut(_small_star(_large_star(e, hot), hot), "edges")
         forget(e)
         e = nxt
-        if now == before or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._presswork_path = e._presswork_path
+    return out
 
 
 def group_keys(df: DataFrame) -> DataFrame:

@@ -4,24 +4,29 @@ Distinct spellings are cut into tokens. A symmetric-delete index (every token un
 spellings with one letter left out) finds tokens at edit distance one without comparing
 tokens pairwise; the rarer spelling then stands for the commoner one. The token of a name
 that meets the fewest different partners is its root (a surname, a company's own word);
-names meet under their root. Inside a root, names are compared by an optimal assignment of
-their remaining tokens, which permits typing errors, nicknames, initials, abbreviations and
-acronyms. What could mean two entities (a bare surname of two people) is linked to neither.
+names meet under their root. Names of one root are compared where their other tokens have
+the same first letters, by an optimal assignment that permits typing errors, nicknames,
+initials, abbreviations and acronyms. Links become entities by connected components, so
+neither a root nor an entity with very many spellings is gathered in one task. What could
+mean two entities (a bare surname of two people) is linked to neither.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
+from presswork.llm.groups import components
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.session import cut, fan_out
+from presswork.session import cut, fan_out, forget
 
 # Fixed values ---------------------------------------------------------------------------
 #: Words that carry no identity inside a name.
@@ -32,7 +37,7 @@ LEGAL = frozenset("inc ltd gmbh llc plc corp co ag sa limited incorporated corpo
 GENERIC = frozenset(
     "they them we he she it you people officials official company companies government users researchers experts "
     "analysts critics regulators lawmakers customers investors students police ministry agency university study report "
-    "technology internet artificial intelligence machine learning software".split()
+    "technology internet artificial intelligence machine learning software ai ml llm llms".split()
 )
 #: Usual short forms of first names.
 NICKNAMES = {
@@ -61,20 +66,33 @@ FAMILY = {
 #: Two similar spellings that each stand in so many different names, the rarer at least a
 #: RATIO-th as often as the other, are two words and no typing error.
 ESTABLISHED, RATIO = 5, 6
-#: Shortest token the delete index holds, and shortest a root may be.
+#: Shortest token the delete index holds; shorter ones, and those with digits, must be equal.
 MIN_INDEXED = 4
-#: Longest token taken for an abbreviation.
+#: Longest acronym, and longest token that can't be a root for being an abbreviation.
 ABBREVIATION = 6
+#: A word of more later consonants has no contraction.
+CONSONANTS = 24
+#: Up to so many tuples of one block are compared without an index of their tokens.
+FEW = 16
 
 _MARKS = re.compile("[™®©]")
 _POSSESSIVE = re.compile(r"['’ʼ]s\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 _SPLIT = re.compile(r"[^\w]+|_+")
 _TICKER = re.compile(r"[BCDFGHJKLMNPQRSTVWXZ]{3,6}")
+_DIGIT = re.compile(r"\d")
+
+
+def initial(token: str) -> bool:
+    """Whether a token is a single letter (of a script that has capitals)."""
+    return len(token) == 1 and token.islower()
 
 
 def tokens(name: str | None) -> list[str]:
-    """Identity-bearing tokens of a name, in order and lower case."""
+    """Identity-bearing tokens of a name, in order and lower case; numbers are tokens.
+
+    A name of single letters only ("I.B.M.") is one token.
+    """
     if not name:
         return []
     t = _MARKS.sub("", unicodedata.normalize("NFKC", name).replace("™", ""))
@@ -83,7 +101,16 @@ def tokens(name: str | None) -> list[str]:
     t = _CAMEL.sub(" ", _POSSESSIVE.sub("", t))
     out = [w for w in _SPLIT.split(t.lower()) if w]
     out = [w for w in out if w not in HONORIFIC and w not in LEGAL and (w not in STOP or (len(w) == 1))]
-    return [w for w in out if not any(c.isdigit() for c in w)]
+    return ["".join(out)] if len(out) > 1 and all(map(initial, out)) else out
+
+
+def root_places(toks: list[str]) -> list[bool]:
+    """Which tokens may be a name's root: words of four letters, else all its words, else its letters."""
+    for least in (MIN_INDEXED, 2, 1):
+        ok = [len(t) >= least and any(map(str.isalpha, t)) for t in toks]
+        if any(ok):
+            return ok
+    return [False] * len(toks)
 
 
 def skeleton(word: str) -> str:
@@ -107,68 +134,183 @@ def one_edit(a: str, b: str) -> bool:
     return ra[1:] == rb if len(a) > len(b) else ra == rb[1:]
 
 
+def contraction_key(word: str) -> str:
+    """The first letter and all later consonants."""
+    return word[0] + skeleton(word[1:])
+
+
+def contraction_keys(full: str) -> set[str]:
+    """Keys of all contractions a word can have: at most two of its consonants left out, or at most three left in."""
+    k = contraction_key(full)
+    n = len(k) - 1
+    if n > CONSONANTS:
+        return set()
+    sizes = {m for m in range(n + 1) if m >= n - 2 or m <= 3}
+    return {k[0] + "".join(c) for m in sizes for c in combinations(k[1:], m)}
+
+
 @lru_cache(maxsize=200_000)
 def abbreviates(short: str, full: str) -> bool:
-    """Whether ``short`` is an initial, a cut-off or a letter-dropping form of ``full``."""
-    if len(short) >= len(full) or short[0] != full[0]:
+    """Whether ``short`` is an initial, a cut-off (plural s allowed) or a contraction of ``full``.
+
+    A contraction has letters of the word in their order, the first one among them, and of
+    the later consonants all but two ("anlytcs") or at most three ("intl").
+    """
+    if len(short) >= len(full) or short[0] != full[0] or _DIGIT.search(short) or _DIGIT.search(full):
         return False
-    if full.startswith(short):
-        return True
-    if len(short) >= 4 and short[-1] == "s" and full.startswith(short[:-1]):
+    if full.startswith(short) or (len(short) >= 4 and short[-1] == "s" and full.startswith(short[:-1])):
         return True
-    # letters left out anywhere; that it fits one full name only is checked where it is used
     it = iter(full)
-    return len(short) <= len(full) - 1 and all(c in it for c in short)
+    if not all(c in it for c in short):
+        return False
+    k, n = len(contraction_key(short)) - 1, len(contraction_key(full)) - 1
+    return n <= CONSONANTS and (k >= n - 2 or k <= 3)
+
 
+def formal(token: str) -> str:
+    """The full first name behind a nickname, else the token."""
+    return NICKNAMES.get(token, token)
 
-def align(a: tuple[str, ...], b: tuple[str, ...], distinct) -> str | None:
+
+def token_cost(x: str, y: str, distinct: Callable[[str, str], bool]) -> int | None:
+    """What it costs that ``x`` stands for ``y``; 100 or more for an abbreviation, None if it can't."""
+    if x == y or formal(x) == formal(y):
+        return 0
+    if _DIGIT.search(x) or _DIGIT.search(y):
+        return None
+    if min(len(x), len(y)) >= MIN_INDEXED and one_edit(x, y) and not distinct(x, y):
+        return 1
+    nx, ny = formal(x), formal(y)
+    if len(nx) > MIN_INDEXED and len(ny) > MIN_INDEXED and one_edit(nx, ny) and not distinct(nx, ny):
+        return 1
+    return 100 if abbreviates(x, ny) else None
+
+
+def assignment(cost: list[list[float]]) -> float:
+    """Least total of a one-to-one assignment of a square matrix (Hungarian method, cubic time)."""
+    n = len(cost)
+    u, v, match = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used, way = [float("inf")] * (n + 1), [False] * (n + 1), [0] * (n + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = match[j0], float("inf"), 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    x = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if x < least[j]:
+                        least[j], way[j] = x, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return sum(cost[match[j] - 1][j - 1] for j in range(1, n + 1))
+
+
+#: No such match; above any sum of possible ones.
+_NEVER = 1e9
+#: A left-over initial: more than any typing errors, less than an abbreviation.
+_LEFT = 20
+
+
+def _assign(a: tuple[str, ...], b: tuple[str, ...], distinct: Callable[[str, str], bool]) -> float:
+    both = Counter(a) & Counter(b)
+    if both:  # equal tokens belong together
+        a, b = tuple((Counter(a) - both).elements()), tuple((Counter(b) - both).elements())
+    if not a or not b:
+        rest = a or b
+        return _LEFT * len(rest) if len(rest) <= 2 and all(map(initial, rest)) else _NEVER
+    each = [[token_cost(x, y, distinct) for y in b] for x in a]
+    if any(not initial(x) and all(c is None for c in row) for x, row in zip(a, each)):
+        return _NEVER
+    if any(not initial(y) and all(row[j] is None for row in each) for j, y in enumerate(b)):
+        return _NEVER
+    if len(a) == len(b) == 1 and each[0][0] is not None:
+        return each[0][0]
+    m = [[_NEVER if c is None else float(c) for c in row] + [float(_LEFT) if initial(x) else _NEVER] * len(a) for x, row in zip(a, each)]
+    m += [[float(_LEFT) if initial(y) else _NEVER for y in b] + [0.0] * len(a) for _ in b]
+    total = assignment(m)
+    return total if total < _NEVER and (total % 100) < 3 * _LEFT else _NEVER
+
+
+def _acronyms(a: tuple[str, ...], b: tuple[str, ...]) -> list[tuple[int, int, int]]:
+    """(place in a, first place in b, words) of every token that spells the first letters of words in a row."""
+    out = []
+    for i, x in enumerate(a):
+        if 2 <= len(x) <= ABBREVIATION and x.isalpha():
+            out += [(i, k, len(x)) for k in range(len(b) - len(x) + 1) if all(len(w) > 1 and w[0] == ch for w, ch in zip(b[k:], x))]
+    return out
+
+
+def align(a: tuple[str, ...], b: tuple[str, ...], distinct: Callable[[str, str], bool]) -> str | None:
     """How two lists of tokens mean the same: ``same``, ``abbr`` (a short, b full) or None.
 
-    The best one-to-one assignment is searched; a token of ``a`` may also stand for several
-    following tokens of ``b`` as their acronym. Left-over single letters of either side are
-    middle initials; any other left-over token means another entity. ``distinct(x, y)`` tells
-    whether two similar words are known to be two words.
+    Equal tokens stand for each other, the others by the best assignment; one token of ``a``, or two, may also stand
+    for several following tokens of ``b`` as their acronym. Up to two left-over single
+    letters are middle initials; any other left-over token means another entity.
+    ``distinct(x, y)`` tells whether two similar words are known to be two words. Names may
+    have any number of tokens.
     """
-    best: list = [None]
-
-    def cost(x: str, y: str) -> int | None:
-        if x == y or NICKNAMES.get(x, x) == NICKNAMES.get(y, y):
-            return 0
-        if min(len(x), len(y)) >= 4 and one_edit(x, y) and not distinct(x, y):
-            return 1
-        nx, ny = NICKNAMES.get(x, x), NICKNAMES.get(y, y)
-        if len(nx) > 4 and len(ny) > 4 and one_edit(nx, ny) and not distinct(nx, ny):
-            return 1
-        if abbreviates(x, ny):
-            return 10
+    if all(map(initial, b)):
         return None
+    best = _assign(a, b, distinct)
+    if best >= 100:
+        runs = _acronyms(a, b)
+        for chosen in [(r,) for r in runs] + [(r, s) for r, s in combinations(runs, 2) if r[0] != s[0] and (r[1] + r[2] <= s[1] or s[1] + s[2] <= r[1])]:
+            gone = {k for _, first, n in chosen for k in range(first, first + n)}
+            rest = tuple(x for i, x in enumerate(a) if i not in {r[0] for r in chosen})
+            best = min(best, 100 + _assign(rest, tuple(y for j, y in enumerate(b) if j not in gone), distinct))
+    return None if best >= _NEVER else "abbr" if best >= 100 else "same"
 
-    def go(i: int, free: tuple[int, ...], total: int, left: int) -> None:
-        if best[0] is not None and total >= best[0]:
-            return
-        if i == len(a):
-            if all(len(b[j]) == 1 for j in free) and left + len(free) <= 2:
-                best[0] = total
-            return
-        for k, j in enumerate(free):
-            c = cost(a[i], b[j])
-            if c is not None:
-                go(i + 1, free[:k] + free[k + 1:], total + c, left)
-        if len(a[i]) >= 2:
-            n = len(a[i])
-            for k in range(len(free) - n + 1):
-                run = free[k:k + n]
-                if run[-1] - run[0] == n - 1 and all(b[j][0] == ch and len(b[j]) > 1 for j, ch in zip(run, a[i])):
-                    go(i + 1, free[:k] + free[k + n:], total + 10, left)
-        if len(a[i]) == 1:
-            go(i + 1, free, total + 2, left + 1)
-
-    if len(a) > 7 or len(b) > 7:  # longer than any name: only the same words in any order
-        return "same" if sorted(a) == sorted(b) else None
-    go(0, tuple(range(len(b))), 0, 0)
-    if best[0] is None or not any(len(x) > 1 for x in b):
-        return None
-    return "abbr" if best[0] >= 10 else "same"
+
+def _letter(token: str, canon: str) -> str:
+    return f"#{token}" if _DIGIT.search(token) else formal(canon)[0]
+
+
+def signature(letters: list[str]) -> str:
+    return " ".join(sorted(letters))
+
+
+def signatures(toks: list[str], canons: list[str]) -> list[tuple[str, bool]]:
+    """(signature, own) of every block a list of tokens has to be compared in.
+
+    Its own block has the first letters of its words; as a short form it also visits the
+    blocks where its initials stand for words (all but two left-over ones), a nickname for
+    itself, or one or two tokens are acronyms.
+    """
+    words = [(t, c) for t, c in zip(toks, canons) if not initial(t)]
+    own = signature([_letter(t, c) for t, c in words])
+    out = {own: True} if words else {}
+    choices = []
+    for t, c in words:
+        opts = [[_letter(t, c)]]
+        if formal(c) != t and not _DIGIT.search(t) and t[0] != opts[0][0]:
+            opts.append([t[0]])
+        if 2 <= len(t) <= ABBREVIATION and t.isalpha():
+            opts.append(list(t))
+        choices.append(opts)
+    plain = [o[0] for o in choices]
+    other = [(i, x) for i, o in enumerate(choices) for x in o[1:]]
+    sets = [()] + [(x,) for x in other] + [(x, y) for x, y in combinations(other, 2) if x[0] != y[0]]
+    letters = [t for t in toks if initial(t)]
+    for chosen in sets:
+        base = [c for i, o in enumerate(plain) for c in dict(chosen).get(i, o)]
+        for n in range(max(0, len(letters) - 2), len(letters) + 1):
+            for kept in combinations(letters, n):
+                if base or kept:
+                    out.setdefault(signature([*base, *kept]), False)
+    return list(out.items())
 
 
 class _Union:
@@ -183,74 +325,111 @@ class _Union:
         return x
 
     def join(self, x, y) -> None:
-        self.up[self.find(x)] = self.find(y)
-
-
-def link_root(names: list[tuple[str, str, tuple[str, ...] | None]], distinct) -> list[list[str]]:
-    """Groups of spellings under one root that mean the same.
-
-    ``names``: (spelling, family, tokens besides the root; None for a consonant ticker).
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+class _Near:
+    """Which tuples of a block have a token that a given token could stand for."""
+
+    def __init__(self, homes: list[tuple[str, ...]]) -> None:
+        self.at: dict[str, set[int]] = defaultdict(set)
+        self.runs: dict[str, set[int]] = defaultdict(set)
+        for i, d in enumerate(homes):
+            for t in d:
+                self.at[t].add(i)
+            first = "".join(t[0] for t in d)
+            for n in range(2, ABBREVIATION + 1):
+                for k in range(len(d) - n + 1):
+                    self.runs[first[k:k + n]].add(i)
+        self.equal, self.edits, self.contracted = defaultdict(set), defaultdict(set), defaultdict(set)
+        for t in self.at:
+            f = formal(t)
+            self.equal[f].add(t)
+            if _DIGIT.search(t):
+                continue
+            for w in {t, f}:
+                for e in _deletes(w):
+                    self.edits[e].add(t)
+            for k in contraction_keys(f):
+                self.contracted[k].add(t)
+        self.sorted = sorted({(formal(t), t) for t in self.at})
+        self.cache: dict[str, set[int]] = {}
+
+    def _starting(self, p: str) -> Iterator[str]:
+        k = bisect_left(self.sorted, (p,))
+        while k < len(self.sorted) and self.sorted[k][0].startswith(p):
+            yield self.sorted[k][1]
+            k += 1
+
+    def of(self, x: str) -> set[int]:
+        got = self.cache.get(x)
+        if got is None:
+            words = set(self.equal.get(formal(x), ()))
+            if not _DIGIT.search(x):
+                for w in {x, formal(x)}:
+                    for e in _deletes(w):
+                        words |= self.edits.get(e, set())
+                words.update(self._starting(x))
+                if len(x) >= 4 and x[-1] == "s":
+                    words.update(self._starting(x[:-1]))
+                words |= self.contracted.get(contraction_key(x), set())
+            got = self.cache[x] = set().union(*(self.at[w] for w in words), self.runs.get(x, ()))
+        return got
+
+
+def _deletes(w: str) -> set[str]:
+    return {w, *(w[:i] + w[i + 1:] for i in range(len(w)))} if len(w) >= MIN_INDEXED else {w}
+
+
+def link_block(tuples: dict[tuple[str, ...], tuple[bool, tuple[str, ...]]], distinct: Callable[[str, str], bool], few: int = FEW) -> list[tuple[tuple, tuple, bool]]:
+    """(tuple, stands for, short) within one block: tuples with the same first letters under one root.
+
+    ``tuples``: whether this is the tuple's own block, and its words' common spellings.
+    Tuples of the own block are always linked to the first of their class; a short form
+    gives one row for the only class it can mean here, or two rows that show it is open.
     """
-    out: list[list[str]] = []
-    by_family: dict[str, list] = defaultdict(list)
-    for s, fam, d in names:
-        by_family[fam].append((s, d))
-    for fam, own in by_family.items():
-        full = sorted({d for _, d in own if d and any(len(x) > 1 for x in d)})
-        initials = sorted({d for _, d in own if d and all(len(x) == 1 for x in d)})
-        u = _Union()
-        short: dict[tuple, set] = defaultdict(set)
-        for i, a in enumerate(full):
-            u.find(a)
-            for b in full[i + 1:]:
-                kind = align(a, b, distinct)
-                if kind == "same":
-                    u.join(a, b)
-                elif kind == "abbr":
-                    short[a].add(b)
-                elif align(b, a, distinct) == "abbr":
-                    short[b].add(a)
-        for a in initials:
-            for b in full:
-                if align(a, b, distinct):
-                    short[a].add(b)
-        same = {d: u.find(d) for d in full}
-        longest = {a: {same[b] for b in bs if b not in short or not short[b]} or {same[b] for b in bs} for a, bs in short.items()}
-        at: dict[tuple, tuple | None] = {}
-        for a, roots in longest.items():
-            if len(roots) == 1:
-                (r,) = roots
-                if a in same:
-                    u.join(a, r)
+    homes = sorted(t for t, (own, _) in tuples.items() if own)
+    if not homes:
+        return []
+    u = _Union()
+    by_words: dict[tuple, tuple] = {}
+    for d in homes:
+        u.join(by_words.setdefault(tuple(sorted(tuples[d][1])), d), d)
+    near = _Near(homes) if len(homes) > few else None
+    short: dict[tuple, set] = {}
+    for d in sorted(tuples):
+        words = [t for t in d if not initial(t)]
+        if not words:
+            continue
+        if near is None:
+            others = homes
+        else:
+            others = [homes[i] for i in sorted(min((near.of(t) for t in words), key=len))]
+        for b in others:
+            if b == d:
+                continue
+            kind = align(d, b, distinct)
+            if kind == "same":
+                if tuples[d][0]:
+                    u.join(d, b)
                 else:
-                    at[a] = r
-            elif a not in same:
-                at[a] = None
-        clusters: dict = defaultdict(list)
-        bare: list[str] = []
-        for s, d in own:
-            if d is None or not d:
-                bare.append(s)
-            elif d in same:
-                clusters[u.find(d)].append(s)
-            elif at.get(d):
-                clusters[u.find(at[d])].append(s)
-            elif d not in at:  # initials with no full name: one entity of their own
-                clusters[("?", d)].append(s)
-        if len(clusters) == 1:
-            next(iter(clusters.values())).extend(bare)
-        elif not clusters and len(bare) > 1:
-            clusters["bare"] = bare
-        out += [c for c in clusters.values() if len(c) > 1]
+                    short.setdefault(d, set()).add(b)
+            elif kind == "abbr":
+                short.setdefault(d, set()).add(b)
+    out = [(d, u.find(d), False) for d in homes]
+    for d, bs in short.items():
+        full = {u.find(b) for b in bs if b not in short} or {u.find(b) for b in bs}
+        out += [(d, r, True) for r in sorted(full)[:2]]
+    classes = sorted({u.find(d) for d in homes if d not in short} or {u.find(d) for d in homes})
+    out += [(d, r, True) for d in sorted(tuples) if all(map(initial, d)) for r in classes[:2]]
     return out
 
 
 def _spellings(mentions: DataFrame) -> DataFrame:
     """Distinct spellings with their mention count and family; the commonest known label decides."""
     label = F.regexp_replace(F.lower(F.trim("raw_label")), "[-_ ]+", " ")
-    fam = F.lit(None).cast("string")
-    for k, v in FAMILY.items():
-        fam = F.when(label == k, F.lit(v)).otherwise(fam)
+    fam = F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv])[label]
     counts = mentions.where(F.col("entity_surface").isNotNull()).groupBy(
         F.col("entity_surface").alias("name"), fam.alias("family")).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("name").agg(
@@ -259,16 +438,18 @@ def _spellings(mentions: DataFrame) -> DataFrame:
 
 
 def _tokenised(names: DataFrame) -> DataFrame:
+    """Names of a known family with at least one word that is no generic one, and their tokens."""
+
     def cutter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["tokens"] = [tokens(x) for x in b["name"]]
+            b["rootable"] = [root_places(t) for t in b["tokens"]]
             b["ticker"] = [bool(_TICKER.fullmatch(x.strip())) for x in b["name"]]
+            b["proper"] = [any(r and t not in GENERIC for t, r in zip(ts, rs)) for ts, rs in zip(b["tokens"], b["rootable"])]
             yield b
 
-    t = fan_out(names, "name").mapInPandas(cutter, "name string, n long, family string, tokens array<string>, ticker boolean")
-    generic = F.array(*[F.lit(g) for g in sorted(GENERIC)])
-    proper = F.exists("tokens", lambda x: (F.length(x) >= MIN_INDEXED) & ~F.array_contains(generic, x))
-    return t.where(F.col("family").isNotNull() & (F.col("ticker") | proper))
+    shape = "name string, n long, family string, tokens array<string>, rootable array<boolean>, ticker boolean, proper boolean"
+    return fan_out(names.where("family is not null"), "name").mapInPandas(cutter, shape).where("proper or ticker").drop("proper")
 
 
 def token_canon(named: DataFrame) -> DataFrame:
@@ -281,7 +462,7 @@ def token_canon(named: DataFrame) -> DataFrame:
     """
     tok = (
         named.select("n", F.explode(F.array_distinct("tokens")).alias("token"))
-        .where(F.length("token") >= MIN_INDEXED)
+        .where((F.length("token") >= MIN_INDEXED) & ~F.col("token").rlike("[0-9]"))
         .groupBy("token").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("n")))
     tok = cut(tok, "tokens")
     entries = tok.select(
@@ -302,87 +483,184 @@ def token_canon(named: DataFrame) -> DataFrame:
 
     best = pairs.mapInPandas(check, pairs.schema).groupBy("token").agg(
         F.max(F.struct("names", "n", "other"))["other"].alias("canon"))
-    return tok.join(best, "token", "left").select("token", F.coalesce("canon", "token").alias("canon"), "names")
+    out = cut(tok.join(best, "token", "left").select("token", F.coalesce("canon", "token").alias("canon"), "names"), "canon")
+    forget(tok)
+    return out
 
 
-def name_groups(mentions: DataFrame) -> DataFrame:
-    """(root, members): spellings of one entity, for every root with such spellings.
+def _cut_forms(words: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(canon) of every brief token that abbreviates a word: equal keys meet, then the rule decides."""
 
-    Null names, numbers, generic words and labels that name no entity belong to no group;
-    repeated mentions count once; an empty table gives no rows.
-    """
-    named = cut(_tokenised(_spellings(mentions)), "spellings")
-    canon = cut(token_canon(named), "canon")
-    each = named.select("name", F.posexplode("tokens").alias("pos", "token"))
-    each = each.join(canon, "token", "left").select("name", "pos", "token", F.coalesce("canon", "token").alias("canon"), F.coalesce("names", F.lit(0)).alias("names"))
+    def full_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for w in b["canon"]:
+                n = min(ABBREVIATION, len(w) - 1)
+                rows += [("p" + w[:k], w) for k in range(1, n + 1)] + [("p" + w[:k] + "s", w) for k in range(3, min(n, ABBREVIATION - 1) + 1)]
+                rows += [("c" + k, w) for k in contraction_keys(w)]
+            yield pd.DataFrame(rows, columns=["key", "word"])
+
+    def brief_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for w in b["canon"] for x in (("p" + w, w), ("c" + contraction_key(w), w))], columns=["key", "canon"])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.loc[[abbreviates(x, y) for x, y in zip(p["canon"], p["word"])], ["canon"]]
+
+    met = briefs.mapInPandas(brief_keys, "key string, canon string").join(words.mapInPandas(full_keys, "key string, word string"), "key")
+    return met.select("canon", "word").distinct().mapInPandas(check, "canon string").distinct()
+
+
+def _rooted(named: DataFrame) -> DataFrame:
+    """(root, name, family, ticker, toks): every name under its roots, with its other tokens in order."""
+    canon = token_canon(named)
+    each = named.select("name", "ticker", F.posexplode(F.arrays_zip("tokens", "rootable")).alias("pos", "t")).select(
+        "name", "ticker", "pos", F.col("t.tokens").alias("token"), F.col("t.rootable").alias("rootable"))
+    each = each.join(canon, "token", "left").select(
+        "name", "ticker", "pos", "token", "rootable", F.coalesce("canon", "token").alias("canon"), F.coalesce("names", F.lit(0)).alias("names"))
     # a second step joins chains of typing errors (a rare spelling of a rare spelling)
     again = canon.select(F.col("token").alias("canon"), F.col("canon").alias("canon2"))
     full_name = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
     twice = F.coalesce("canon2", "canon")
+    # a ticker is a spelling by itself: one letter more or less is another body
     each = cut(each.join(again, "canon", "left").select(
-        "name", "pos", "token", F.coalesce(full_name[twice], twice).alias("canon"), "names"), "name_tokens")
-    long = each.where(F.length("canon") >= MIN_INDEXED)
+        "name", "pos", "token", "rootable", F.when(F.col("ticker"), F.col("token")).otherwise(F.coalesce(full_name[twice], twice)).alias("canon"), "names"),
+        "name_tokens")
+    long = each.where("rootable")
     other = each.select("name", F.col("canon").alias("partner"))
     partners = (
         long.select("name", "canon").join(other, "name").where(F.col("canon") != F.col("partner"))
         .select("canon", "partner").distinct().groupBy("canon").agg(F.count(F.lit(1)).alias("partners")))
     partners = cut(partners, "partners")
     # a short token that abbreviates a word met in many names is such a word too, and no root
-    full = partners.where(F.col("partners") >= ESTABLISHED).select(F.col("canon").alias("word"), F.left("canon", F.lit(1)).alias("i"))
-    brief = partners.where((F.length("canon") <= ABBREVIATION) & (F.col("partners") < ESTABLISHED)).select("canon", F.left("canon", F.lit(1)).alias("i"))
-    in_order = F.expr("word rlike concat('^', array_join(split(canon, ''), '.*'))")
-    short = brief.join(full, "i").where((F.length("word") > F.length("canon")) & in_order).select("canon").distinct().withColumn("short", F.lit(True))
+    letters = ~F.col("canon").rlike("[0-9]")
+    short = _cut_forms(
+        partners.where((F.col("partners") >= ESTABLISHED) & letters).select("canon"),
+        partners.where((F.length("canon") <= ABBREVIATION) & (F.col("partners") < ESTABLISHED) & letters).select("canon")).withColumn("short", F.lit(True))
     weight = F.when(F.col("short"), F.lit(1 << 40)).otherwise(F.coalesce("partners", F.lit(0)))
     ranked = long.join(partners, "canon", "left").join(short, "canon", "left").withColumn("partners", weight)
     least = ranked.groupBy("name").agg(F.min("partners").alias("least"))
     roots = ranked.join(least, "name").where(F.col("partners") == F.col("least")).select("name", F.col("canon").alias("root")).distinct()
+    # a list of one name's own tokens
     rest = each.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "canon", "names"))).alias("toks"))
-    rooted = roots.join(rest, "name").join(named.select("name", "family", "ticker"), "name").where(~F.col("ticker"))
-    full = rooted.select("root", "name", "family", "toks", F.lit(False).alias("ticker"))
+    out = cut(roots.join(rest, "name").join(named.select("name", "family", "ticker"), "name").select("root", "name", "family", "ticker", "toks"), "rooted")
+    for t in (canon, each, partners):
+        forget(t)
+    return out
+
+
+def _tickers(named: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(name, family, root): tickers whose letters open the consonants of just one organisation's root."""
     skel = F.upper(F.regexp_replace("root", "[aeiou]", ""))
-    firsts = rooted.where(F.col("family") == "org").select("root").distinct().select(
+    firsts = rooted.where("family = 'org' and not ticker").select("root").distinct().select(
         "root", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substring(skel, F.lit(1), k)))).alias("t"))
-    ticks = named.where("ticker").select("name", F.trim("name").alias("t"), F.col("family"))
-    alone = ticks.join(firsts, "t").groupBy("name", "family").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).where("k = 1")
-    full = full.unionByName(alone.select("root", "name", F.lit("org").alias("family"), F.lit(None).cast(full.schema["toks"].dataType).alias("toks"), F.lit(True).alias("ticker")))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, int] = {}
-        rows = []
-        root = pdf["root"].iloc[0]
-        for r in pdf.itertuples():
-            if r.ticker:
-                rows.append((r.name, r.family, None))
-                continue
-            used, d = False, []
-            for t in r.toks:
-                known[t["token"]] = max(known.get(t["token"], 0), int(t["names"]))
-                if t["canon"] == root and not used:
-                    used = True
-                else:
-                    d.append(t["token"])
-            rows.append((r.name, r.family, tuple(d)))
+    ticks = named.where("ticker").select("name", F.trim("name").alias("t"))
+    one = ticks.join(firsts, "t").groupBy("name").agg(F.min("root").alias("root"), F.max("root").alias("other")).where("root = other")
+    return one.select("name", F.lit("org").alias("family"), "root")
+
 
+def _placed(rooted: DataFrame) -> DataFrame:
+    """Every name's remaining tokens in each block they are compared in, one row a (node, block)."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                used, d, c, n = False, [], [], []
+                for t in r.toks:
+                    if t["canon"] == r.root and not used:
+                        used = True
+                    else:
+                        d.append(t["token"])
+                        c.append(t["canon"])
+                        n.append(int(t["names"]))
+                sigs = signatures(d, c) if d else []
+                words = [x for t, x in zip(d, c) if not initial(t)]
+                out.append((r.root, r.family, r.name, " ".join(d), words, n, [s for s, _ in sigs], [o for _, o in sigs]))
+            yield pd.DataFrame(out, columns=["root", "family", "name", "rest", "words", "ns", "sigs", "owns"])
+
+    return rooted.mapInPandas(
+        place, "root string, family string, name string, rest string, words array<string>, ns array<long>, sigs array<string>, owns array<boolean>")
+
+
+def _block_links(nodes: DataFrame) -> DataFrame:
+    """(root, family, a, b, short): links found inside the blocks, streamed block after block."""
+
+    def judge(key: tuple, rows: dict, known: dict[str, int]) -> list:
         def distinct(x: str, y: str) -> bool:
             lo, hi = sorted((known.get(x, 0), known.get(y, 0)))
             return lo >= ESTABLISHED and lo * RATIO > hi and sorted(x) != sorted(y)
 
-        sets = link_root(rows, distinct)
-        return pd.DataFrame({"root": pd.Series([root] * len(sets), dtype=object), "members": pd.Series([sorted(set(s)) for s in sets], dtype=object)})
+        return [(key[0], key[1], " ".join(a), " ".join(b), s) for a, b, s in link_block(rows, distinct)]
 
-    return fan_out(full, "root", "family").groupBy("root", "family").applyInPandas(group, "root string, members array<string>")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows, known, out = None, {}, {}, []
+        for b in batches:
+            for root, family, sig, rest, words, ns, own in zip(b["root"], b["family"], b["sig"], b["rest"], b["words"], b["ns"], b["own"]):
+                key = (root, family, sig)
+                if key != at:
+                    out += judge(at, rows, known) if rows else []
+                    at, rows, known = key, {}, {}
+                d = tuple(rest.split(" "))
+                rows[d] = (bool(own), tuple(words))
+                for t, n in zip(d, ns):
+                    known[t] = max(known.get(t, 0), int(n))
+            yield pd.DataFrame(out, columns=["root", "family", "a", "b", "short"])
+            out = []
+        yield pd.DataFrame(judge(at, rows, known) if rows else [], columns=["root", "family", "a", "b", "short"])
+
+    keys = ["root", "family", "sig"]
+    placed = fan_out(nodes, *keys).sortWithinPartitions(*keys, "rest")
+    return placed.mapInPandas(scan, "root string, family string, a string, b string, short boolean")
+
+
+def name_groups(mentions: DataFrame) -> DataFrame:
+    """(group_id, root, name): every spelling that is linked to another one, once for each of its entities.
+
+    A spelling whose root is open (two equally rare tokens) may stand in two groups. Null
+    names, numbers, generic words and labels that name no entity belong to no group;
+    repeated mentions count once; an empty table gives no rows.
+    """
+    named = cut(_tokenised(_spellings(mentions)), "spellings")
+    rooted = _rooted(named)
+    placed = cut(_placed(rooted), "placed")
+    of = ["root", "family"]
+    nodes = placed.where("rest <> ''").select(
+        *of, "rest", "words", "ns", F.explode(F.arrays_zip("sigs", "owns")).alias("s")).select(
+        *of, F.col("s.sigs").alias("sig"), "rest", "words", "ns", F.col("s.owns").alias("own")).dropDuplicates([*of, "sig", "rest"])
+    links = cut(_block_links(nodes), "links")
+    # a short form that could mean two entities is linked to neither
+    means = links.where("short").groupBy(*of, "a").agg(F.min("b").alias("b"), F.max("b").alias("other"))
+    sure = links.where("not short").select(*of, "a", "b").unionByName(means.where("b = other").select(*of, "a", "b"))
+    node = lambda c: F.concat_ws("\u0001", *of, F.col(c))
+    comp = components(sure.where("a <> b").select(node("a").alias("u"), node("b").alias("v")).distinct())
+    initials = F.expr("forall(split(rest, ' '), t -> length(t) = 1 and lower(t) <> upper(t))")
+    open_ = means.where("b <> other").select(*of, F.col("a").alias("rest"), F.lit(True).alias("open"))
+    own = placed.where("rest <> ''").select(*of, "name", "rest").join(open_, [*of, "rest"], "left").where(
+        F.col("open").isNull() | ~initials).withColumn("node", node("rest"))
+    own = own.join(comp.withColumnRenamed("root", "least"), "node", "left").select(*of, "name", F.coalesce("least", "node").alias("entity"))
+    own = cut(own, "entities")
+    # a bare root, or a ticker, means the only entity under it
+    bare = placed.where("rest = ''").select(*of, "name").unionByName(_tickers(named, rooted).select(*of, "name")).distinct()
+    under = own.groupBy(*of).agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))
+    bare = bare.join(under, of, "left").where("entity is null or entity = other").select(
+        *of, "name", F.coalesce("entity", F.concat_ws("\u0001", *of)).alias("entity"))
+    each = own.unionByName(bare).select("root", "name", F.md5("entity").alias("group_id")).distinct()
+    each = cut(each, "members")
+    for t in (named, rooted, placed, links, comp, own):
+        forget(t)
+    linked = each.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
+    return each.join(linked, "group_id", "left_semi").select("group_id", "root", "name")
 
 
 def name_pairs(groups: DataFrame) -> DataFrame:
     """(name_a, name_b): the pairs of different spellings of every group, name_a first by code point."""
-    a = groups.select("members", F.posexplode("members").alias("i", "name_a"))
-    return a.select("name_a", F.explode(F.expr("slice(members, i + 2, greatest(size(members) - i - 1, 0))")).alias("name_b")).distinct()
+    a = groups.select("group_id", F.col("name").alias("name_a"))
+    b = groups.select("group_id", F.col("name").alias("name_b"))
+    return a.join(b, "group_id").where("name_a < name_b").select("name_a", "name_b").distinct()
 
 
 def membership(groups: DataFrame) -> DataFrame:
-    """(group_id, root, entity_surface): every linked spelling once, with its largest group."""
-    sized = groups.select(
-        "members", "root", F.size("members").alias("n"), F.md5(F.array_join("members", "\n")).alias("group_id"))
-    each = sized.select(F.explode("members").alias("entity_surface"), F.struct("n", "group_id", "root").alias("g"))
-    best = each.groupBy("entity_surface").agg(F.max("g").alias("g"))
-    return best.select("g.group_id", "g.root", "entity_surface")
+    """(group_id, root, entity_surface): every linked spelling with each group it belongs to."""
+    return groups.select("group_id", "root", F.col("name").alias("entity_surface"))
