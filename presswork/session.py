@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,25 +33,53 @@ def build_session(app: str = "presswork", cores: str = "*", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Where the session names none, a temporary folder serves sessions whose executors are
+    this very process (``local``); on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(spark, "_presswork_shared", None)
         if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="presswork-")
-            spark._presswork_shared = named
+            folder = tempfile.mkdtemp(prefix="presswork-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            named = spark._presswork_shared = "file://" + folder
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the virtual machine may be gone already
+        pass
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/presswork/{spark.sparkContext.applicationId}"
+    sc = spark.sparkContext
+    if getattr(sc, "_presswork_dir", None) != path:
+        atexit.register(_delete_at_exit, spark, path)
+        sc._presswork_dir = path
+    return path
+
+
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The copy is plain Parquet on storage every executor reaches, so the loss of an
-    executor costs nothing, and later joins see its true size.
+    executor costs nothing, and later joins see its true size. :func:`forget` deletes it
+    as soon as nothing reads it; what a returned frame still reads goes with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/presswork/{what}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._presswork_path = path
@@ -60,9 +90,7 @@ def forget(df: DataFrame | None) -> None:
     """Delete the table behind a frame made by :func:`cut`, once nothing reads it."""
     path = getattr(df, "_presswork_path", None)
     if path:
-        spark = df.sparkSession
-        jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True)
+        _delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -99,7 +127,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_presswork_shipped", False):
         return
     home = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="presswork-")) / "presswork.zip"
+    folder = tempfile.mkdtemp(prefix="presswork-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "presswork.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(home.rglob("*")):
             if f.is_file() and "__pycache__" not in f.parts:
