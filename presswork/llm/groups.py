@@ -9,9 +9,13 @@ stratification.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterable, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.session import cut, forget
@@ -22,8 +26,8 @@ BIG = 2_000
 BLOCK = 50_000
 #: Edges of one node that one task may join; a node with more is spread.
 HOT = 1_000_000
-#: Distinct label values a stratification may use.
-MAX_LABELS = 1_000
+#: Distinct label values a stratification may use (their totals come to the driver).
+MAX_LABELS = 100_000
 #: Sorts behind every entity key; marks records without an entity (fixed value).
 NO_ENTITY = "\uffff"
 
@@ -119,34 +123,45 @@ def group_keys(df: DataFrame) -> DataFrame:
     comp = components(_edges(ties))
     node = ties.groupBy("sample_id").agg(F.min("node").alias("node"))
     key = F.coalesce("root", "node")
-    return node.join(comp, "node", "left").select("sample_id", F.ltrim(key, F.lit(NO_ENTITY)).alias("group_key"))
+    out = node.join(comp, "node", "left").select("sample_id", F.ltrim(key, F.lit(NO_ENTITY)).alias("group_key"))
+    out._presswork_reads = comp
+    return out
 
 
-def place(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, want_n: np.ndarray) -> np.ndarray:
+def place(sizes: np.ndarray, labels: Sequence[dict[int, float]], want: np.ndarray, want_n: np.ndarray) -> np.ndarray:
     """Split of each component by grouped iterative stratification.
 
-    ``labels`` (components x labels) counts each component's labels; ``want`` (splits x
-    labels) and ``want_n`` (splits) are what each split still needs. The label with the
-    fewest outstanding records goes first; its components, largest first, each go to the
-    split that needs most of it, then most records, then comes first. Both needs shrink.
+    ``labels`` has each component's labels and their counts; ``want`` (splits x labels) and
+    ``want_n`` (splits) are what each split still needs. The label with the fewest
+    outstanding records goes first; its components, largest first, each go to the split
+    that needs most of it, then most records, then comes first. Both needs shrink.
     """
     out = np.full(len(sizes), -1)
     want, want_n = want.astype(float).copy(), want_n.astype(float).copy()
-    left = labels.sum(axis=0).astype(float)
-    order = np.argsort(-sizes, kind="stable")
-    by_label = {j: [i for i in order if labels[i, j] > 0] for j in range(labels.shape[1])}
+    order = np.argsort(-np.asarray(sizes), kind="stable")
+    left: dict[int, float] = defaultdict(float)
+    by_label: dict[int, list[int]] = defaultdict(list)
+    for i in order:
+        for j, n in labels[i].items():
+            if n > 0:
+                left[j] += n
+                by_label[j].append(i)
+    heap = [(n, j) for j, n in left.items()]
+    heapq.heapify(heap)
 
     def put(i: int, s: int) -> None:
         out[i] = s
-        want[s] -= labels[i]
         want_n[s] -= sizes[i]
-        np.subtract(left, labels[i], out=left)
-
-    while True:
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            break
-        j = live[np.argmin(left[live])]
+        for j, n in labels[i].items():
+            want[s, j] -= n
+            left[j] -= n
+            if left[j] > 0:
+                heapq.heappush(heap, (left[j], j))
+
+    while heap:
+        n, j = heapq.heappop(heap)
+        if n != left[j] or n <= 0:
+            continue  # an older entry
         for i in by_label[j]:
             if out[i] < 0:
                 put(i, max(range(len(want_n)), key=lambda s: (round(want[s, j], 9), round(want_n[s], 9), -s)))
@@ -157,6 +172,22 @@ def place(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, want_n: np.nd
     return out
 
 
+def portion(shares: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Records each split (row) takes of the next ``n`` of every label (column) after ``before``.
+
+    Record r belongs to the split in whose part of [0, 1) the fraction of r times the golden
+    ratio lies: a sequence so even that any run of records, and the single records of many
+    blocks together, keep the shares.
+    """
+    edges = np.cumsum(shares, axis=0)[:-1]
+    out = np.zeros((len(shares), len(n)))
+    for j, (r, k) in enumerate(zip(before, n)):
+        if k > 0:
+            x = (np.arange(r, r + k) + 0.5) * 0.6180339887498949 % 1.0
+            out[:, j] = np.bincount(np.searchsorted(edges[:, j], x, side="right"), minlength=len(shares))
+    return out
+
+
 def assign_splits(
     df: DataFrame,
     label_cols: tuple[str, ...] = ("final_type", "sentiment_label"),
@@ -168,62 +199,101 @@ def assign_splits(
 
     Groups with at least 1/``big`` of all records are placed first, on the driver (never
     more than ``big`` groups). The others, which no longer matter one by one, are placed in
-    hashed blocks, each block towards its part of what is still needed. Repeated samples
-    count once, with their smallest label; null labels count for no label.
+    hashed blocks, each block towards its part of what is still needed; parts are counted
+    on from block to block, so that a label with less than one record a block reaches every
+    split too. Repeated samples count once, with their smallest label; null labels count
+    for no label.
     """
-    keys = cut(group_keys(df), "groups")
+    found = group_keys(df)
+    keys = cut(found, "groups")
+    forget(found._presswork_reads)
     lab = df.where(F.col("sample_id").isNotNull()).groupBy("sample_id").agg(*[F.min(_clean(F.col(c))).alias(c) for c in label_cols])
     rec = keys.join(lab, "sample_id").select(
         "sample_id", "group_key", F.filter(F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in label_cols]), lambda x: x.isNotNull()).alias("ls"))
     per_label = rec.select("group_key", F.explode("ls").alias("label")).groupBy("group_key", "label").agg(F.count(F.lit(1)).alias("n"))
-    totals = per_label.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()
+    sizes = rec.groupBy("group_key").agg(F.count(F.lit(1)).alias("size"))
+    vec = per_label.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("labels"))  # at most MAX_LABELS long
+    comp = cut(sizes.join(vec, "group_key", "left"), "components")
+    totals = comp.select(F.explode("labels").alias("x")).groupBy("x.label").agg(F.sum("x.n").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()
     if len(totals) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    names = [r["label"] for r in totals]
-    pos = {n: i for i, n in enumerate(names)}
+    pos = {r["label"]: i for i, r in enumerate(totals)}
     total = np.array([r["n"] for r in totals], dtype=float)
-    sizes = rec.groupBy("group_key").agg(F.count(F.lit(1)).alias("size"))
-    vec = per_label.groupBy("group_key").agg(F.collect_list(F.struct("label", "n")).alias("labels"))  # at most MAX_LABELS long
-    comp = cut(sizes.join(vec, "group_key", "left"), "components")
     n_rec = comp.agg(F.sum("size")).first()[0] or 0
     splits = [s for s, _ in shares]
     p = np.array([x for _, x in shares])
     want, want_n = p[:, None] * total[None, :], p * n_rec
     limit = max(1.0, n_rec / big)
 
-    def matrix(labels: list) -> np.ndarray:
-        m = np.zeros((len(labels), len(names)))
-        for i, ls in enumerate(labels):
-            for x in ls if ls is not None else []:
-                m[i, pos[x["label"]]] += x["n"]
-        return m
+    def counts(labels: Iterable) -> list[dict[int, float]]:
+        return [{pos[x["label"]]: x["n"] for x in ls} if ls is not None else {} for ls in labels]
 
     large = comp.where(F.col("size") >= limit).orderBy(F.desc("size"), "group_key").toPandas()
-    m = matrix(list(large["labels"]))
-    at = place(large["size"].to_numpy(), m, want, want_n)
-    for i, s in enumerate(at):
-        want[s] -= m[i]
-        want_n[s] -= large["size"].iloc[i]
+    own = counts(large["labels"])
+    at = place(large["size"].to_numpy(), own, want, want_n)
+    for ls, s, n in zip(own, at, large["size"]):
+        want_n[s] -= n
+        for j, k in ls.items():
+            want[s, j] -= k
     spark = df.sparkSession
     head = spark.createDataFrame([(k, splits[s]) for k, s in zip(large["group_key"], at)], "group_key string, split string")
     small = comp.where(F.col("size") < limit)
     n_small = small.count()
     if n_small:
         blocks = max(1, -(-n_small // block))
-        rest_l, rest_n = np.maximum(total - m.sum(axis=0), 1e-9), max(n_rec - large["size"].sum(), 1)
 
-        def in_block(g: pd.DataFrame) -> pd.DataFrame:
+        def parts(need: np.ndarray) -> np.ndarray:
+            need = np.maximum(need, 0.0)
+            return np.where(need.sum(axis=0) > 0, need / np.maximum(need.sum(axis=0), 1e-12), p[:, None])
+
+        of_label, of_all = parts(want), parts(want_n[:, None])
+
+        def in_block(g: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("group_key")
-            x = matrix(list(g["labels"]))
-            # this block's part of what is still needed, by its part of the records left
-            s = place(g["size"].to_numpy(), x, want * (x.sum(axis=0) / rest_l)[None, :], want_n * (g["size"].sum() / rest_n))
+            x = counts(g["labels"])
+            here, done = np.zeros(len(pos)), np.zeros(len(pos))
+            for ls in x:
+                for j, n in ls.items():
+                    here[j] += n
+            at = before["label"].map(pos)
+            done[at.dropna().to_numpy(dtype=int)] = before.loc[at.notna(), "before"].to_numpy(dtype=float)
+            so_far = before.loc[before["label"] == "", "before"].to_numpy(dtype=float)
+            need_n = portion(of_all, so_far, np.array([float(g["size"].sum())]))[:, 0]
+            s = place(g["size"].to_numpy(), x, portion(of_label, done, here), need_n)
             return pd.DataFrame({"group_key": g["group_key"], "split": [splits[i] for i in s]})
 
-        b = F.pmod(F.xxhash64("group_key"), F.lit(blocks)).alias("b")
-        head = head.unionByName(small.select("*", b).groupBy("b").applyInPandas(in_block, "group_key string, split string"))
+        small = small.withColumn("b", F.pmod(F.xxhash64("group_key"), F.lit(blocks)))
+        # one row a block and label; the empty label stands for all records
+        each = small.select("b", F.explode(F.concat(
+            F.array(F.struct(F.lit("").alias("label"), F.col("size").alias("n"))), F.coalesce("labels", F.expr("cast(array() as array<struct<label:string,n:bigint>>)")))).alias("x"))
+        order = Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        running = each.groupBy("b", "x.label").agg(F.sum("x.n").alias("n")).select("b", "label", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+        placed = small.groupBy("b").cogroup(running.groupBy("b")).applyInPandas(in_block, "group_key string, split string")
+        head = head.unionByName(placed)
     return keys.join(head, "group_key").select("sample_id", "group_key", "split")
 
 
+def split_audit(splits: DataFrame, samples: DataFrame, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
+    """(measure, value): what must hold of splits of ``samples``.
+
+    Samples missing, samples that stand in the result twice, groups in two splits, and
+    splits whose size is off target by more than the largest group; all but the first are 0.
+    """
+    spark = splits.sparkSession
+    named = samples.where(F.col("sample_id").isNotNull()).select("sample_id").distinct()
+    n = splits.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    per = splits.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("b"))
+    most, total = per.agg(F.max("n")).scalar(), splits.agg(F.count(F.lit(1))).scalar()
+    want = spark.createDataFrame(list(shares), "split string, share double")
+    off = want.join(splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "left").na.fill(0, ["n"]).where(
+        F.abs(F.col("n") - F.col("share") * total) > most + 1)
+    count = lambda df, name: df.agg(F.lit(name).alias("measure"), F.count(F.lit(1)).alias("value"))
+    out = count(named, "samples")
+    for df, name in ((named.join(n, "sample_id", "left_anti"), "missing"), (n.where("n > 1"), "twice"), (per.where("a <> b"), "groups in two splits"), (off, "splits off target")):
+        out = out.unionByName(count(df, name))
+    return out
+
+
 def split_report(splits: DataFrame, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
     """Records, groups and actual share of every split beside its target."""
     spark = splits.sparkSession

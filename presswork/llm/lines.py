@@ -1,11 +1,13 @@
 """Lines one site repeats over many of its documents.
 
 Every line's documents are kept as a compressed bitmap: only the 64-bit words that hold a
-bit are stored, as rows (site, line, word number, bits). Variant spellings of a line are
-united by OR-ing their words, cardinalities are exact bit counts, and a document's line is
-removed when the bitmap of its site and line has the document's bit. All of it is JVM-side
-hash aggregation; the hottest line of the hottest site is spread over its words, so no
-task ever gathers the documents of a line.
+bit are stored, as rows (site, line, word number, bits). Rows are numbered within a task
+in the order of their site, so that a site's documents lie side by side: words fill, and
+most of the work on a bitmap is done before anything is shuffled. Variant spellings of a
+line are united by OR-ing their words, cardinalities are exact bit counts, and a document's
+line is removed when the bitmap of its site and line has the document's bit. All of it is
+JVM-side hash aggregation; the hottest line of the hottest site is spread over its words,
+so no task ever gathers the documents of a line.
 """
 
 from __future__ import annotations
@@ -53,35 +55,36 @@ def site_rows(news: DataFrame) -> DataFrame:
 def lines_of(news: DataFrame) -> DataFrame:
     """Non-blank lines of texts with a site: doc_id, line_no, site, hashes, word and bit.
 
-    Rows with a null text, url or doc_id have no lines here.
+    Rows with a null text, url or doc_id have no lines here. A row's number holds for one
+    run only, so the result must be written (:func:`cut`) before it is used twice.
     """
     src = news.select(F.col("doc_id").cast("long").alias("doc_id"), site_of(F.col("url")).alias("site"), "text").where(
         F.col("site").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    numbered = spread(src).sortWithinPartitions("site", "doc_id").withColumn("row", F.monotonically_increasing_id())
     pairs = F.arrays_zip(line_keys(F.col("text")).alias("key"),
                          F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("variant"))
-    each = spread(src).select("doc_id", "site", F.posexplode(pairs).alias("line_no", "l")).where(F.col("l.key").rlike("[^ ]"))
+    each = numbered.select("doc_id", "site", "row", F.posexplode(pairs).alias("line_no", "l")).where(F.col("l.key").rlike("[^ ]"))
     return each.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "site",
         *_hash2(F.trim("l.key"), "k"), F.col("l.variant").alias("variant"),
-        F.shiftright("doc_id", 6).alias("word"),
-        F.expr("shiftleft(1L, cast(doc_id & 63 as int))").alias("bit"))
+        F.shiftright("row", 6).alias("word"),
+        F.expr("shiftleft(1L, cast(row & 63 as int))").alias("bit"))
 
 
 def line_bitmaps(lines: DataFrame) -> DataFrame:
     """Bitmap words of every line of every site, variants united.
 
-    The variants' own bitmaps are built first and then OR-ed; both aggregations use the
-    one exchange on (site, line, word).
+    The variants' own bitmaps are built first, mostly inside the task that numbered the
+    documents, and then OR-ed.
     """
     keys = ["site", "k1", "k2", "word"]
-    placed = lines.select(*keys, "variant", "bit").repartition(*keys)
-    variants = placed.groupBy(*keys, "variant").agg(F.bit_or("bit").alias("bits"))
+    variants = lines.groupBy(*keys, "variant").agg(F.bit_or("bit").alias("bits"))
     return variants.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("n_variants"))
 
 
 def repeated(news: DataFrame, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
     """Lines of a site that at least ``min_docs`` and ``min_share`` of its rows carry."""
-    return _repeated(line_bitmaps(lines_of(news)), news, min_docs, min_share)
+    return _repeated(line_bitmaps(cut(lines_of(news), "lines")), news, min_docs, min_share)
 
 
 def _repeated(maps: DataFrame, news: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -97,7 +100,7 @@ def boilerplate_lines(news: DataFrame, min_docs: int = 5, min_share: float = 0.0
     carries a line twice counts once and loses both.
     """
     lines = cut(lines_of(news), "lines")  # 128-bit line hashes, no text
-    maps = line_bitmaps(lines)
+    maps = cut(line_bitmaps(lines), "bitmaps")  # counted and looked up
     keep = _repeated(maps, news, min_docs, min_share).select("site", "k1", "k2")
     hit = maps.join(keep, ["site", "k1", "k2"], "left_semi").select("site", "k1", "k2", "word", "bits")
     return (

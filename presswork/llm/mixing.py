@@ -14,6 +14,7 @@ import base64
 import math
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from presswork.session import cut, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that tokenizer splits text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Largest vocabulary file sent to the tasks.
+MAX_VOCABULARY = 64_000_000
 #: Mix rows shipped to the driver; more is refused.
 MAX_MIX_ROWS = 200_000
 #: Documents one task's flight may hold.
@@ -33,20 +36,34 @@ BLOCK = 20_000
 
 
 def _encoding(path: str):
-    import tiktoken
-
     if not os.path.exists(path):
         raise FileNotFoundError(f"tokenizer vocabulary {path}")
+    if os.path.getsize(path) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} bytes")
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return _of_ranks(f.read())
+
+
+@lru_cache(maxsize=2)
+def _of_ranks(vocabulary: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of every row as delivered; a null text has no tokens."""
+    """(doc_id, source, tokens) of every row as delivered; a null text has no tokens.
+
+    The vocabulary file need only be on the driver, which sends it (at most
+    ``MAX_VOCABULARY`` bytes) to the tasks.
+    """
+    _encoding(vocabulary)  # refuses a missing or too large file
+    with open(vocabulary, "rb") as f:
+        shipped = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(vocabulary)
+        enc = _of_ranks(shipped.value)
         for b in batches:
             b["tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield b[["doc_id", "source", "tokens"]]
@@ -191,13 +208,37 @@ def mix(counts: DataFrame, mixes: DataFrame, seed: int = 42, block: int = BLOCK)
 
 
 def mix_report(counts: DataFrame, mixes: DataFrame, seed: int = 42) -> DataFrame:
-    """Per mix and source: target, reachable and drawn tokens, actual share of the mix, shortfall."""
+    """Per mix and source: target, reachable and drawn tokens, actual share of the mix, shortfall.
+
+    A source is short if every one of its documents was drawn as often as allowed and the
+    drawn tokens still lie below the target.
+    """
     used = mix(counts, mixes, seed).groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.count(F.lit(1)).alias("docs_used"),
         F.sum("copies").alias("copies_used"))
     out = mix_table(counts, mixes).join(used, ["mix_id", "source"], "left").na.fill(0, ["drawn_tokens", "docs_used", "copies_used"])
     total = out.groupBy("mix_id").agg(F.sum("drawn_tokens").alias("_all"))
+    drawn = F.col("drawn_tokens")
     return out.join(F.broadcast(total), "mix_id").select(
         "mix_id", "source", "target_share", "target_tokens", "reachable_tokens", "drawn_tokens", "docs_used", "copies_used",
         F.coalesce(F.try_divide("drawn_tokens", "_all"), F.lit(0.0)).alias("actual_share"),
-        (F.col("reachable_tokens") < F.col("target_tokens")).alias("short"))
+        ((drawn >= F.col("reachable_tokens")) & (drawn < F.col("target_tokens"))).alias("short"))
+
+
+def mix_audit(counts: DataFrame, mixes: DataFrame, seed: int = 42) -> DataFrame:
+    """Per mix: documents used beyond their cap, documents listed twice, and sources off what they can reach.
+
+    A source is off by more than the landing explains if its drawn tokens differ from the
+    smaller of target and reach by more than two of its longest documents.
+    """
+    drawn = mix(counts, mixes, seed)
+    table = mix_table(counts, mixes)
+    each = drawn.join(table.select("mix_id", "source", "max_repeats"), ["mix_id", "source"]).groupBy("mix_id", "source", "doc_id").agg(
+        F.sum("copies").alias("copies"), F.max("max_repeats").alias("cap"), F.count(F.lit(1)).alias("n"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    per = each.groupBy("mix_id", "source").agg(
+        F.count_if(F.col("copies") > F.col("cap")).alias("over_cap"), F.count_if(F.col("n") > 1).alias("listed_twice"), F.sum("tokens").alias("drawn"))
+    longest = counts.groupBy("source").agg(F.max("tokens").alias("longest"))
+    due = F.least("target_tokens", "reachable_tokens")
+    return table.join(per, ["mix_id", "source"], "left").join(longest, "source", "left").na.fill(0, ["over_cap", "listed_twice", "drawn", "longest"]).groupBy("mix_id").agg(
+        F.sum("over_cap").alias("over_cap"), F.sum("listed_twice").alias("listed_twice"),
+        F.count_if(F.abs(F.col("drawn") - due) > 2 * F.col("longest") + 1).alias("sources_off"))

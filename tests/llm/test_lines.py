@@ -1,4 +1,7 @@
 from presswork.llm import lines as L
+from pyspark.sql import functions as F
+
+from presswork.session import cut
 
 S = "doc_id long, url string, text string, site string, _gone string, word long"
 
@@ -56,3 +59,11 @@ def test_threshold_is_inclusive(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], S)
     assert L.boilerplate_lines(e).count() == 0 and L.clean_texts(e).count() == 0
+
+
+def test_words_fill_where_a_site_has_many_documents(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", "Share this page\n" + f"text {chr(97 + i % 26)} of {i}") for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, url string, text string").repartition(4)
+    maps = L.line_bitmaps(cut(L.lines_of(d), "lines"))
+    hot = maps.groupBy("site", "k1").agg(F.sum(F.bit_count("bits")).alias("docs"), F.count("word").alias("words")).where("docs = 1000").collect()
+    assert len(hot) == 2 and all(r["words"] <= 60 for r in hot)

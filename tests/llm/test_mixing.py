@@ -73,3 +73,13 @@ def test_empty(spark, counts):
     assert M.mix(e, mixes(spark)).count() == 0
     assert all(x["drawn_tokens"] == 0 for x in M.mix_report(e, mixes(spark)).collect())
     assert M.mix_report(counts, spark.createDataFrame([], X)).count() == 0
+
+
+def test_found_and_audit_come_from_the_draw(spark, counts, monkeypatch):
+    r = {(x["mix_id"], x["source"]): x for x in M.mix_report(counts, mixes(spark)).collect()}
+    assert {k for k, x in r.items() if x["short"]} == {k for k, x in r.items() if x["reachable_tokens"] < x["target_tokens"]} != set()
+    assert all(tuple(x)[1:] == (0, 0, 0) for x in M.mix_audit(counts, mixes(spark)).collect())
+    drawn = M.mix
+    monkeypatch.setattr(M, "mix", lambda *a: drawn(*a).where("source <> 'small'"))
+    assert {k for k, x in r.items() if x["short"]} != {(x["mix_id"], x["source"]) for x in M.mix_report(counts, mixes(spark)).collect() if x["short"]}
+    assert any(x["sources_off"] for x in M.mix_audit(counts, mixes(spark)).collect())
