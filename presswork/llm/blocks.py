@@ -2,9 +2,9 @@
 
 A page is cut into its lines. Every block is described by its words, its link density (how
 much of it are short separated pieces, as menus and tag lists have once the links are gone)
-and those of its neighbours, by where the paragraphs lie around it, and by how its words
-spread over the classes of a small labelled table (``blocks_labelled.tsv``). A decision
-tree grown on that table separates main body from furniture. Pages are independent of each
+and those of its neighbours, by where the paragraphs lie around it, and, unless left
+out, by how its words spread over the classes of a small labelled table
+(``blocks_labelled.tsv``). A decision tree grown on that table separates main body from furniture. Pages are independent of each
 other, so one pass without shuffle does it; only sentences, which arrive as rows, are first
 brought together by document.
 """
@@ -46,6 +46,9 @@ FEATURES = (
     "paragraphs_after", "gap_before", "gap_after", "depth",
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
+#: Further block features where the word odds are left out: neighbours' ends, neighbours at
+#: distance two, length against the page's median, places from both ends, runs of short blocks.
+WIDE = 14
 
 
 def clean(line: str) -> str:
@@ -61,7 +64,8 @@ def _mask(words: list[str]) -> list[str]:
 class Odds:
     """Log odds of a word being furniture, from counts of blocks per class."""
 
-    def __init__(self, furniture: Counter, body: Counter, least: int = 3) -> None:
+    def __init__(self, furniture: Counter, body: Counter, least: int = 3, wide: bool = False) -> None:
+        self.wide = wide
         nf, nb = max(1, sum(furniture.values())), max(1, sum(body.values()))
         self.lines: dict[str, tuple] = {}
         self.of = {
@@ -110,8 +114,30 @@ def line_features(raw: str, odds: Odds) -> tuple:
     return numbers, kinds, y.lower().replace(" ", "")
 
 
+def wide_features(x: np.ndarray) -> np.ndarray:
+    """``WIDE`` more columns for the blocks of one page."""
+    w, link, end = (x[:, _AT[f]] for f in ("words", "link", "sentence_end"))
+    n = len(x)
+
+    def shifted(a: np.ndarray, d: int) -> np.ndarray:
+        out = np.zeros(n, dtype=np.float32)
+        if abs(d) < n:
+            out[max(0, -d):n - max(0, d)] = a[max(0, d):n + min(0, d)]
+        return out
+
+    cols = [shifted(a, d) for d in (-2, 2) for a in (w, link, end)] + [shifted(end, d) for d in (-1, 1)]
+    short = (w < 9) | (end == 0)
+    at = np.arange(n)
+    # a run's blocks share the number of long blocks before them
+    group = np.cumsum(~short)
+    run = np.bincount(group, short, minlength=n + 1)[group] * short
+    prose = w * end
+    cols += [w / max(float(np.median(w)) if n else 1.0, 1.0), at, n - 1 - at, run, np.full(n, n), shifted(prose, -1) + shifted(prose, 1)]
+    return np.stack(cols, axis=1).astype(np.float32) if n else np.zeros((0, WIDE), dtype=np.float32)
+
+
 def page_features(lines: list[str], title: str | None, site: str | None, odds: Odds) -> np.ndarray:
-    """One row of ``FEATURES`` for every non-blank line of a page."""
+    """One row of ``FEATURES`` for every non-blank line of a page; without word odds, the wide ones too."""
     n = len(lines)
     x = np.zeros((n, len(FEATURES)), dtype=np.float32)
     t = set(_mask(_WORD.findall(clean(title)))) if title else set()
@@ -147,7 +173,7 @@ def page_features(lines: list[str], title: str | None, site: str | None, odds: O
     else:
         col["gap_before"][:] = col["gap_after"][:] = 99
     col["depth"][:] = np.arange(n) / max(1, n - 1)
-    return x
+    return np.hstack([x, wide_features(x)]) if odds.wide else x
 
 
 class Tree:
@@ -224,14 +250,17 @@ def labelled_pages() -> list[tuple[str, str, list[str], list[int]]]:
 
 
 class Classifier:
-    """Word odds and tree, fitted on labelled pages."""
+    """Tree over block features, fitted on labelled pages; ``words`` adds the word odds to them.
+
+    Without the odds nothing of the labelled table's vocabulary is used.
+    """
 
-    def __init__(self, pages: list[tuple[str, str, list[str], list[int]]]) -> None:
+    def __init__(self, pages: list[tuple[str, str, list[str], list[int]]], words: bool = True) -> None:
         each = []
         total = (Counter(), Counter())
         for _, _, blocks, y in pages:
             own = (Counter(), Counter())
-            for b, k in zip(blocks, y):
+            for b, k in zip(blocks, y) if words else ():
                 own[k].update(Odds.keys(_mask(_WORD.findall(clean(b)))))
             each.append(own)
             total[0].update(own[0])
@@ -240,10 +269,10 @@ class Classifier:
         for (title, site, blocks, y), own in zip(pages, each):
             if blocks:
                 # a page's own words must not vouch for it while the tree is grown
-                odds = Odds(total[1] - own[1], total[0] - own[0])
+                odds = Odds(total[1] - own[1], total[0] - own[0], wide=not words)
                 xs.append(page_features(blocks, title, site, odds))
                 ys.append(np.array(y))
-        self.odds = Odds(total[1], total[0])
+        self.odds = Odds(total[1], total[0], wide=not words)
         self.tree = Tree().fit(np.concatenate(xs), np.concatenate(ys))
 
     def furniture(self, pages: list[tuple[list[str], str | None, str | None]]) -> list[np.ndarray]:
@@ -256,29 +285,29 @@ class Classifier:
         return np.split(flags, ends)
 
 
-@lru_cache(maxsize=1)
-def classifier() -> Classifier:
+@lru_cache(maxsize=2)
+def classifier(words: bool = True) -> Classifier:
     """The classifier of the shipped table; a few seconds' work, done once on the driver."""
-    return Classifier(labelled_pages())
+    return Classifier(labelled_pages(), words)
 
 
 def _blank(line: str) -> bool:
     return not _HIDDEN.sub("", line).strip()
 
 
-def _ship(df: DataFrame):
+def _ship(df: DataFrame, words: bool):
     """The fitted classifier, a few kilobytes of tree and word odds, for every task."""
-    return df.sparkSession.sparkContext.broadcast(classifier())
+    return df.sparkSession.sparkContext.broadcast(classifier(words))
 
 
-def page_furniture(news: DataFrame) -> DataFrame:
+def page_furniture(news: DataFrame, words: bool = True) -> DataFrame:
     """(doc_id, line_no) of every non-blank line outside the main body of its page.
 
     ``line_no`` counts from 0 over the text split at line ends. Whole texts are read;
     null and empty texts and null ids have no lines. Title and url may be null.
     """
 
-    model = _ship(news)
+    model = _ship(news, words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value
@@ -298,14 +327,14 @@ def page_furniture(news: DataFrame) -> DataFrame:
     return spread(src).mapInPandas(scan, "doc_id long, line_no long")
 
 
-def sentence_furniture(sentences: DataFrame) -> DataFrame:
+def sentence_furniture(sentences: DataFrame, words: bool = True) -> DataFrame:
     """sent_uid of every sentence outside the main body, judged by its block within the kept blocks.
 
     Rows are brought together by document; repeated rows count once, a block is its
     sentences in order. Rows with a null id or text are left out.
     """
 
-    model = _ship(sentences)
+    model = _ship(sentences, words)
 
     def judge(c: Classifier, docs: list[tuple[str | None, str | None, dict]]) -> pd.DataFrame:
         """Furniture among the sentences of whole documents, all classified at once."""
@@ -335,21 +364,21 @@ def sentence_furniture(sentences: DataFrame) -> DataFrame:
     return placed.mapInPandas(scan, "sent_uid string")
 
 
-def found(news: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(origin, unit_key) of every line or sentence outside the main body."""
-    a = page_furniture(news).select(
+def found(news: DataFrame, sentences: DataFrame, words: bool = True) -> DataFrame:
+    """(origin, unit_key) of every line or sentence outside the main body; ``words`` as in :class:`Classifier`."""
+    a = page_furniture(news, words).select(
         F.lit("news_final_project").alias("origin"), F.concat_ws(":", "doc_id", "line_no").alias("unit_key"))
-    b = sentence_furniture(sentences).select(F.lit("sentences").alias("origin"), F.col("sent_uid").alias("unit_key"))
+    b = sentence_furniture(sentences, words).select(F.lit("sentences").alias("origin"), F.col("sent_uid").alias("unit_key"))
     return a.unionByName(b)
 
 
-def main_bodies(news: DataFrame) -> DataFrame:
+def main_bodies(news: DataFrame, words: bool = True) -> DataFrame:
     """Every document with its main body, lines in order, and the number of lines left out.
 
     A null or empty text gives an empty body.
     """
 
-    model = _ship(news)
+    model = _ship(news, words)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value

@@ -4,8 +4,10 @@ Paragraphs are weighted by term frequency and inverse document frequency, per la
 projected on the leading singular subspace of the document-term matrix. The subspace is
 found by randomised subspace iteration: each pass adds up ``A^T (A Q)`` over the documents
 in blocks of terms, so no task and not the driver ever holds more than terms x rank
-numbers. Subjects are centroids in that space, seeded by words and hand labels and refined
-over all paragraphs; a document has the subjects a third of its own paragraphs lie nearest.
+numbers. Subjects are centroids in that space, seeded by their names, glosses and the hand
+labels and refined over all paragraphs; a document has the subjects a third of its own
+paragraphs lie nearest. A text in none of the known languages, or without their frequent
+words, goes to a space of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.blocks import classifier
-from presswork.session import cut, spread
+from presswork.session import cut, forget, spread
 
 #: Terms are hashed to so many places per language; this bounds every model table.
 TERMS = 1 << 16
@@ -33,8 +35,14 @@ MIN_DOCS, MIN_SHARE, MAX_SHARE = 3, 0.0005, 0.50
 SHARE, COSINE, LEAD = 1 / 3, 0.15, 0.02
 #: Terms summed in one block.
 BLOCK = 2048
-#: Fewest words of a paragraph.
-WORDS = 8
+#: Fewest words of a paragraph, and of a text without paragraphs.
+WORDS, LOOSE_WORDS = 8, 20
+#: Least share of frequent words by which a text is taken for a language.
+SURE = 0.12
+#: Parts added up in one task.
+FAN = 64
+#: Subjects supported; names, glosses and centroids are held on the driver.
+MAX_SUBJECTS = 10_000
 
 # Frequent words by which the four languages are told apart.
 STOP = {
@@ -47,53 +55,10 @@ STOP = {
     "es": "el la los las de del y un una en que es por para con no se su sus al lo como más o pero ha han fue son este esta estos sin "
           "sobre entre desde hasta según dos también muy ya cuando todo",
 }
-# Words that open each subject, in the four languages.
-SEEDS = {
-    "science": "research laboratory scientists space physics chemistry biology telescope experiment astronomers genome fossil "
-               "labor teleskop experiment forschung studie probe genom astronomen chemie physik wissenschaft messung "
-               "laboratoire télescope expérience recherche astronomes génome chimie physique échantillon chercheurs étude "
-               "laboratorio telescopio experimento investigación astrónomos genoma química física muestra científicos revista científica",
-    "law": "court lawsuit judge contract legal attorney plaintiff appeal verdict prosecutor trial copyright patent "
-           "gericht klage urteil vertrag anwalt richter patent klausel berufung anklage zeuge verfahren staatsanwalt "
-           "tribunal procès juge contrat avocat plainte jugement brevet clause appel témoignage procureur "
-           "tribunal demanda juez contrato abogado sentencia patente cláusula recurso testimonio fiscalía audiencia",
-    "sport": "match athlete league training coach goalkeeper season stadium team championship penalty marathon referee transfer "
-             "liga spiel training trainerin trainer mannschaft stadion torwart saison verein elfmeter pokal "
-             "match ligue entraînement entraîneur équipe stade gardien saison championnat transfert blessure "
-             "partido liga entrenamiento entrenador equipo estadio portero temporada campeonato fichaje lesión",
-    "software": "software programming developer code compiler server database release operating system test bug interface repository "
-                "programm datenbank entwickler code update paket schnittstelle testumgebung bibliothek plattform server "
-                "logiciel développeurs code base données interface correctif serveur paquet bibliothèque version plateforme "
-                "programa desarrolladores código base datos interfaz parche servidor paquete versión plataforma",
-    "health": "hospital medicine doctor patient clinic health surgery vaccine diagnosis nurse therapy insulin radiology "
-              "klinik patient krankenhaus ärztin arzt diagnose impfung behandlung therapie röntgenbild kardiologin "
-              "hôpital patient médecin clinique diagnostic vaccin traitement chirurgien opératoire radiographie infirmière "
-              "hospital paciente médico clínica diagnóstico vacuna tratamiento cirugía radiografía enfermera",
-    "finance": "bank market investor shares profit dividend credit fund interest loan earnings bond shareholders brokerage "
-               "bank börse aktie anleger zinsen darlehen bilanz dividende rendite anleihe kredit portfolio fonds "
-               "banque marché investisseurs action dividende bilan prêt taux intérêt obligation portefeuille crédit "
-               "banco mercado inversores acción dividendo balance préstamo tipo interés bono cartera crédito auditoría",
-    "government": "government parliament election minister law policy regulation vote council cabinet coalition budget ministry ballot "
-                  "regierung parlament wahl minister gesetz abstimmung koalition verordnung haushalt abgeordnete bürgermeisterin ministerium "
-                  "gouvernement parlement élection ministre loi vote coalition décret budget députés maire ministère "
-                  "gobierno parlamento elección ministro ley votación coalición decreto presupuesto diputados alcaldesa ministerio reglamento",
-    "education": "school university teacher student exam lesson classroom lecturer homework tuition degree campus scholarship "
-                 "schule universität lehrerin studierende prüfung hausaufgabe klassenzimmer stipendium unterricht vorlesung "
-                 "école université professeure étudiants examen devoir classe bourse cours scolaire enseignement "
-                 "escuela universidad profesora estudiantes examen deberes aula beca curso matrícula biblioteca campus",
-    "energy": "power climate energy electricity grid gas pipeline solar wind battery emission mine carbon utility reactor heat "
-              "strom energie klima netz solaranlage windrad batterie emission leitung gas genossenschaft kraftwerk "
-              "énergie climat électricité réseau solaire éolienne batterie émission gazoduc tarif barrage parc "
-              "energía clima electricidad red solar eólica batería emisión gasoducto tarifa presa parque ingeniera",
-    "media": "film music game publishing entertainment album novel festival studio actor podcast soundtrack gallery magazine series "
-             "film musik spiel roman album galerie drehbuch filmmusik festival buchmanuskript schauspieler plattenlabel serie "
-             "film musique jeu roman album galerie scénario tournage festival acteurs première série "
-             "película música juego novela álbum galería guion rodaje festival actores estreno serie sello discográfico",
-}
-
-LANGS = tuple(STOP)
+LANGS = (*STOP, "other")
+OTHER = len(STOP)
 _STOP_OF: dict[str, list[int]] = {}
-for _i, _l in enumerate(LANGS):
+for _i, _l in enumerate(STOP):
     for _w in STOP[_l].split():
         _STOP_OF.setdefault(_w, []).append(_i)
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -104,26 +69,36 @@ def term(word: str) -> int:
     return zlib.crc32(word.encode()) % TERMS
 
 
-def paragraphs(text: str) -> list[list[str]]:
-    """Words of a text's own paragraphs: lines that are long enough and end as sentences do."""
+def paragraphs(text: str) -> tuple[list[list[str]], list[list[str]]]:
+    """Words of a text's own paragraphs, lines that are long enough and end as sentences do, and of its other lines."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    out = []
+    out, loose = [], []
     for line in text.split("\n"):
-        if len(line) < 40 or not _ENDS.search(line[-8:]):
-            continue
         w = _WORD.findall(line.lower())
-        if len(w) >= WORDS:
+        if len(w) >= WORDS and len(line) >= 40 and _ENDS.search(line[-8:]):
             out.append(w)
-    return out
+        elif w:
+            loose.append(w)
+    return out, loose
+
+
+def language(votes: list[int], words: int, lang: str | None) -> int:
+    """The language whose frequent words stand out; else the one the table names; else ``other``."""
+    best = int(np.argmax(votes))
+    if words and votes[best] >= SURE * words:
+        return best
+    code = (lang or "").strip().lower()[:2]
+    return LANGS.index(code) if code in STOP else OTHER
 
 
 def tokenised(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, ends, terms): hashed terms of every paragraph, one array, with its paragraphs' ends.
 
-    The language is the one whose frequent words a text uses most. Lines that read like page
-    furniture by the word odds of the labelled blocks are no paragraphs of the document's
-    own. Stubs, null and empty texts have no paragraphs and are left out.
+    Lines that read like page furniture by the word odds of the labelled blocks are no
+    paragraphs of the document's own. A text without paragraphs (code, tables, lists,
+    headlines) counts as one paragraph of all its other lines, if they have ``LOOSE_WORDS``
+    words. Stubs, null and empty texts have no paragraphs and are left out.
     """
 
     odds = documents.sparkSession.sparkContext.broadcast(classifier().odds.of)
@@ -131,35 +106,45 @@ def tokenised(documents: DataFrame) -> DataFrame:
     def cutter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, tuple[int, float]] = {}
         stop_of, furniture = _STOP_OF, odds.value
+
+        def look(lines: list[list[str]]) -> tuple[list[int], int, list[list[int]]]:
+            """Votes of frequent words, words, and the terms of every line that is no furniture."""
+            votes, n, out = [0] * OTHER, 0, []
+            for p in lines:
+                own, score = [], 0.0
+                for w in p:
+                    t = cache.get(w)
+                    if t is None:
+                        t = cache[w] = (-1 if w in stop_of else term(w), furniture.get(w, 0.0))
+                    score += t[1]
+                    if t[0] >= 0:
+                        own.append(t[0])
+                    else:
+                        for i in stop_of[w]:
+                            votes[i] += 1
+                n += len(p)
+                if score <= 0:  # its words are not those of page furniture
+                    out.append(own)
+            return votes, n, out
+
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                votes = [0] * len(LANGS)
-                ends, terms = [], []
-                for p in paragraphs(text):
-                    own, score = [], 0.0
-                    for w in p:
-                        t = cache.get(w)
-                        if t is None:
-                            t = cache[w] = (-1 if w in stop_of else term(w), furniture.get(w, 0.0))
-                        score += t[1]
-                        if t[0] >= 0:
-                            own.append(t[0])
-                        else:
-                            for i in stop_of[w]:
-                                votes[i] += 1
-                    if score <= 0:  # its words are not those of page furniture
-                        terms += own
-                        ends.append(len(terms))
-                if ends:
-                    rows.append((doc, int(np.argmax(votes)), ends, terms))
+            for doc, text, lang in zip(b["doc_id"], b["text"], b["lang"]):
+                own, loose = paragraphs(text)
+                votes, n, units = look(own)
+                if not own and sum(map(len, loose)) >= LOOSE_WORDS:
+                    votes, n, units = look(loose)
+                    units = [[t for u in units for t in u]] if units else []
+                if units:
+                    ends = np.cumsum([len(u) for u in units]).tolist()
+                    rows.append((doc, language(votes, n, lang), ends, [t for u in units for t in u]))
                 if len(cache) > 2_000_000:
                     cache.clear()
             yield pd.DataFrame({
                 "doc_id": pd.Series([r[0] for r in rows], dtype="int64"), "lang": pd.Series([r[1] for r in rows], dtype="int32"),
                 "ends": pd.Series([r[2] for r in rows], dtype=object), "terms": pd.Series([r[3] for r in rows], dtype=object)})
 
-    src = documents.where("doc_id is not null and text is not null and length(text) >= 40").select("doc_id", "text")
+    src = documents.where("doc_id is not null and text is not null and length(text) >= 40").select("doc_id", "text", "lang")
     return spread(src).mapInPandas(cutter, "doc_id long, lang int, ends array<int>, terms array<int>")
 
 
@@ -205,8 +190,11 @@ def _project(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, place: n
     return out
 
 
-def _sum_blocks(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Adds the tasks' partial blocks on the executors; the driver gets one block each."""
+def _sum_blocks(parts: DataFrame, tasks: int) -> dict[tuple[int, int], np.ndarray]:
+    """Adds the tasks' partial blocks on the executors; the driver gets one block each.
+
+    At most ``FAN`` parts meet in one group, level by level.
+    """
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         total = None
@@ -216,10 +204,22 @@ def _sum_blocks(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         return pd.DataFrame({"lang": [g["lang"].iloc[0]], "block": [g["block"].iloc[0]], "part": [total.astype(np.float32).tobytes()]})
 
     s = "lang int, block int, part binary"
+    parts = parts.withColumn("g", F.spark_partition_id())
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+
+        def level(g: pd.DataFrame) -> pd.DataFrame:
+            return add(g).assign(g=g["g"].iloc[0])
+
+        parts = parts.withColumn("g", F.col("g") % tasks).groupBy("lang", "block", "g").applyInPandas(level, s + ", g int")
     return {(r["lang"], r["block"]): np.frombuffer(r["part"], dtype=np.float32)
             for r in parts.groupBy("lang", "block").applyInPandas(add, s).toLocalIterator()}
 
 
+def _tasks(df: DataFrame) -> int:
+    return df.rdd.getNumPartitions()
+
+
 class Space:
     """Term weights and subspace of every language: at most languages x TERMS x RANK numbers."""
 
@@ -288,7 +288,7 @@ def fit_space(tokens: DataFrame) -> Space:
                 for k in range(0, len(m), BLOCK):
                     yield pd.DataFrame({"lang": [np.int32(lang)], "block": [np.int32(k)], "part": [m[k:k + BLOCK].tobytes()]})
 
-        sums = _sum_blocks(tokens.mapInPandas(gram, "lang int, block int, part binary"))
+        sums = _sum_blocks(tokens.mapInPandas(gram, "lang int, block int, part binary"), _tasks(tokens))
         for lang, q in enumerate(space.q):
             y = np.zeros(q.shape, dtype=np.float32)
             for (g, k), part in sums.items():
@@ -312,44 +312,55 @@ def _lead(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two[:, -1], two[:, -1] - two[:, -2]
 
 
-def seed_centroids(space: Space, names: list[str], gloss: dict[str, str], tokens: DataFrame, labels: DataFrame) -> list[np.ndarray]:
-    """Per language subjects x rank: seed words, glosses and the paragraphs of hand-labelled documents."""
+def seed_centroids(space: Space, names: list[str], gloss: dict[str, str], tokens: DataFrame, labels: DataFrame, rounds: int = 2) -> list[np.ndarray]:
+    """Per language subjects x rank: names, glosses and the paragraphs of hand-labelled documents.
+
+    A document may treat more than its label, and some labels are wrong: in the first round
+    a labelled document's paragraphs count as far as they fit the gloss, in the next ones
+    those that lie nearest to their label by the round before count most.
+    """
     cents = []
     for lang in range(len(LANGS)):
         m = np.zeros((len(names), space.q[lang].shape[1]), dtype=np.float32)
         for i, s in enumerate(names):
-            words = _WORD.findall(f"{s} {gloss.get(s, '')} {SEEDS.get(s, '')}".lower())
+            words = _WORD.findall(f"{s} {gloss.get(s, '')}".lower())
             at = np.array(sorted({t for t in map(term, words) if space.weight[lang][t] > 0}), dtype=np.int64)
             if len(at):
                 m[i] = space.weight[lang][at] @ space.q[lang][space.place[lang][at]]
         cents.append(_unit(m))
+    gloss_cents = cents
     place = {s: i for i, s in enumerate(names)}
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).na.drop().distinct().where(F.col("subject").isin(names))
-    marked = tokens.join(clean, "doc_id")
-    shipped = tokens.sparkSession.sparkContext.broadcast(space)
+    marked = cut(tokens.join(clean, "doc_id"), "marked")
+    sc = tokens.sparkSession.sparkContext
+    for turn in range(rounds):
+        shipped = sc.broadcast((space, cents, turn))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shipped.value
-        sums = [np.zeros((len(names), q.shape[1]), dtype=np.float32) for q in s.q]
-        for b in batches:
-            for lang in range(len(LANGS)):
-                own = b[b["lang"] == lang]
-                if not len(own):
-                    continue
-                e, docs = s.embed(b, lang)
-                subj = np.array([place[x] for x in own["subject"]])[docs]
-                # a document may treat more than its label: paragraphs count as far as they fit the seeds
-                fit = np.einsum("ij,ij->i", e, start[lang][subj])
-                np.add.at(sums[lang], subj, e * np.clip(fit + 0.3, 0.1, 1.0)[:, None])
-        for lang, m in enumerate(sums):
-            yield pd.DataFrame({"lang": [np.int32(lang)], "block": [np.int32(0)], "part": [m.tobytes()]})
-
-    start = cents
-    got = _sum_blocks(marked.mapInPandas(add, "lang int, block int, part binary"))
-    for (lang, _), part in got.items():
-        m = part.reshape(len(names), -1)
-        has = np.linalg.norm(m, axis=1) > 0
-        cents[lang][has] = _unit(cents[lang][has] * 1.0 + _unit(m[has]) * 1.0)
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s, c, turn = shipped.value
+            sums = [np.zeros((len(names), q.shape[1]), dtype=np.float32) for q in s.q]
+            for b in batches:
+                for lang in range(len(LANGS)):
+                    own = b[b["lang"] == lang]
+                    if not len(own):
+                        continue
+                    e, docs = s.embed(b, lang)
+                    subj = np.array([place[x] for x in own["subject"]])[docs]
+                    sim = e @ c[lang].T
+                    fit = sim[np.arange(len(e)), subj]
+                    weight = np.clip(fit + 0.3, 0.1, 1.0) if turn == 0 else np.where(fit >= sim.max(axis=1) - 1e-6, 1.0, 0.05)
+                    np.add.at(sums[lang], subj, e * weight[:, None])
+            for lang, m in enumerate(sums):
+                yield pd.DataFrame({"lang": [np.int32(lang)], "block": [np.int32(0)], "part": [m.tobytes()]})
+
+        got = _sum_blocks(marked.mapInPandas(add, "lang int, block int, part binary"), _tasks(marked))
+        cents = [c.copy() for c in gloss_cents]
+        for (lang, _), part in got.items():
+            m = part.reshape(len(names), -1)
+            has = np.linalg.norm(m, axis=1) > 0
+            cents[lang][has] = _unit(gloss_cents[lang][has] * (1.0 if turn == 0 else 0.5) + _unit(m[has]))
+        shipped.unpersist()
+    forget(marked)
     return cents
 
 
@@ -375,7 +386,7 @@ def refine(space: Space, cents: list[np.ndarray], tokens: DataFrame, rounds: int
             for lang, m in enumerate(sums):
                 yield pd.DataFrame({"lang": [np.int32(lang)], "block": [np.int32(0)], "part": [m.tobytes()]})
 
-        got = _sum_blocks(tokens.mapInPandas(add, "lang int, block int, part binary"))
+        got = _sum_blocks(tokens.mapInPandas(add, "lang int, block int, part binary"), _tasks(tokens))
         new = []
         for lang, c in enumerate(cents):
             m = got[(lang, 0)].reshape(c.shape) if (lang, 0) in got else np.zeros_like(c)
@@ -421,12 +432,13 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     """(doc_id, subject, share) of every document with a subject.
 
     Subject names are read trimmed and lower-case, labels likewise; labels for unknown
-    subjects or documents and repeated ones do not matter. Stubs, empty and null texts have
-    no subject; an empty corpus gives no rows.
+    subjects or documents and repeated ones do not matter. A subject that has in a language
+    neither a known word of its name and gloss nor a labelled document is not assigned
+    there. Stubs, empty and null texts have no subject; an empty corpus gives no rows.
     """
-    rows = subjects.select(F.lower(F.trim("subject")).alias("s"), "gloss").where("s is not null").orderBy("s").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 subjects")
+    rows = subjects.select(F.lower(F.trim("subject")).alias("s"), "gloss").where("s is not null").orderBy("s").limit(MAX_SUBJECTS + 1).collect()
+    if len(rows) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     names = sorted({r["s"] for r in rows})
     gloss = {r["s"]: r["gloss"] or "" for r in rows}
     if not names:

@@ -56,6 +56,23 @@ def test_held_out_accuracy():
     assert (y == f).mean() > 0.97
 
 
+def test_accuracy_on_sites_never_seen():
+    pages = B.labelled_pages()
+    sites = sorted({p[1] for p in pages})
+    for words, least in ((True, 0.97), (False, 0.95)):
+        right = total = 0
+        for fold in range(5):
+            out = set(sites[fold::5])
+            c = B.Classifier([p for p in pages if p[1] not in out], words)
+            held = [p for p in pages if p[1] in out]
+            assert words or not c.odds.of
+            y = np.concatenate([np.array(p[3]) for p in held])
+            f = np.concatenate(c.furniture([(p[2], p[0] or None, p[1] or None) for p in held])).astype(int)
+            right, total = right + (y == f).sum(), total + len(y)
+        print("held out by site", words, right / total)
+        assert right / total > least
+
+
 def test_tree_splits_what_can_be_split():
     x = np.array([[0, 1], [0, 2], [1, 1], [1, 2]] * 5, dtype=float)
     y = (x[:, 0] > 0) & (x[:, 1] > 1)

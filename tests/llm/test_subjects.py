@@ -31,7 +31,7 @@ def corpus(n=240):
 
 def run(spark, docs, labels):
     return T.document_subjects(
-        spark.createDataFrame(docs, D), spark.createDataFrame([(1, " Law", "courts"), (2, "sport", None), (3, "energy", "power"), (4, None, "x")], "subject_id long, subject string, gloss string"),
+        spark.createDataFrame(docs, D), spark.createDataFrame([(1, " Law", "court and lawsuit"), (2, "sport", "league and stadium"), (3, "energy", "power"), (4, None, "x")], "subject_id long, subject string, gloss string"),
         spark.createDataFrame(labels, "doc_id long, subject string, annotator string, labelled_at string"))
 
 
@@ -57,7 +57,7 @@ def test_without_labels_or_subjects_or_documents(spark):
     none = spark.createDataFrame([], "subject_id long, subject string, gloss string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
     assert T.document_subjects(spark.createDataFrame(docs, D), none, lab).count() == 0
-    one = spark.createDataFrame([(1, "law", None)], "subject_id long, subject string, gloss string")
+    one = spark.createDataFrame([(1, "law", "court")], "subject_id long, subject string, gloss string")
     assert T.document_subjects(spark.createDataFrame(docs, D), one, lab).count() > 0
     assert T.document_subjects(spark.createDataFrame([], D), one, lab).count() == 0
 
@@ -85,3 +85,41 @@ def test_long_documents_repeated_texts_and_ties(spark):
     for d, s, _ in run(spark, docs, [(1, "law", "a", "t")]).collect():
         got.setdefault(d, set()).add(s)
     assert got[2000] == {"energy"} and got[2001] == got[2002] == {"law", "sport", "energy"}
+
+
+def test_texts_without_paragraphs_and_without_a_language(spark):
+    r = random.Random(5)
+    docs, truth = corpus(120)
+    listing = "\n".join("- " + " ".join(r.choice(WORDS["law"]) for _ in range(4)) for _ in range(12))  # no line is a sentence
+    table = "\n".join(f"{a} | {b} | {i}" for i, (a, b) in enumerate(zip(WORDS["sport"] * 3, WORDS["sport"][::-1] * 3)))
+    docs += [(3000, listing, "en", None, None), (3001, table, "en", None, None), (3002, "Court judge\nappeal", "en", None, None)]
+    # a fifth language: its own words only, no frequent words of the four
+    own = {s: ["q" + "".join(r.choice("bdgkvz") + r.choice("ou") for _ in range(3)) for _ in range(12)] for s in ("law", "sport")}
+    for i in range(60):
+        s = ("law", "sport")[i % 2]
+        docs.append((4000 + i, "\n".join(" ".join(r.choice(own[s]) for _ in range(12)).capitalize() + "." for _ in range(4)), "xx", None, None))
+    got = {}
+    for d, s, _ in run(spark, docs, [(4000 + i, ("law", "sport")[i % 2], "a", "t") for i in range(12)]).collect():
+        got.setdefault(d, set()).add(s)
+    assert got[3000] == {"law"} and got[3001] == {"sport"} and 3002 not in got
+    assert np.mean([got.get(4000 + i) == {("law", "sport")[i % 2]} for i in range(12, 60)]) > 0.9
+
+
+def test_language():
+    assert T.LANGS[T.language([9, 0, 0, 1], 30, "de")] == "en"
+    assert T.LANGS[T.language([1, 0, 0, 0], 30, "de-XX")] == "de"
+    assert T.LANGS[T.language([0, 0, 0, 0], 30, "it")] == T.LANGS[T.language([0, 0, 0, 0], 0, None)] == "other"
+
+
+def test_sums_by_levels(spark, monkeypatch):
+    import pandas as pd
+
+    def parts(batches):
+        for b in batches:
+            for i in b["id"]:
+                yield pd.DataFrame({"lang": [np.int32(i % 2)], "block": [np.int32(0)], "part": [np.full(3, i, dtype=np.float32).tobytes()]})
+
+    df = spark.range(0, 40, 1, 20).mapInPandas(parts, "lang int, block int, part binary")
+    monkeypatch.setattr(T, "FAN", 2)
+    got = T._sum_blocks(df, 20)
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): sum(range(0, 40, 2)), (1, 0): sum(range(1, 40, 2))}
