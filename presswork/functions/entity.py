@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from presswork.functions import fixed
 from presswork.functions.text import split_camel, squeeze, strip_outer_punct, text, title_case
 
-_PUNCT = r"[()\[\]{}.,;:!?\"“”‘’/\\|]+"
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -19,7 +20,7 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
 def entity_key(c: Column, camel: bool = True) -> Column:
     s = F.lower(split_camel(c) if camel else squeeze(c))
     s = F.regexp_replace(s, "['’]", "")
-    s = F.regexp_replace(s, _PUNCT, " ")
+    s = F.regexp_replace(s, fixed.ENTITY_PUNCT, " ")
     return squeeze(F.regexp_replace(s, "[-_]+", " "))
 
 
@@ -52,32 +53,42 @@ def repaired_type(name: Column, raw: Column) -> Column:
     )
 
 
+def any_match(c: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
+
+
+def surface_name(c: Column) -> Column:
+    """Second canonical name, for scored rows: outer marks and glued time fragments go; then the map, capitals, title case."""
+    s = squeeze(c)
+    for pattern, keep in zip(fixed.SURFACE_EDGES, ("", "", "", "$1", "")):
+        s = F.regexp_replace(s, pattern, keep)
+    s = squeeze(s)
+    known = lookup(entity_key(s, camel=False), fixed.SURFACE_NAMES)
+    return F.when(known.isNotNull(), known).when(s.rlike("^[A-Z]{2,8}$"), s).otherwise(title_case(s))
+
+
+def low_value(name: Column, kind: Column) -> Column:
+    """Whether a name says too little for its type: a generic actor, place or technology."""
+    k = entity_key(name, camel=False)
+    return F.coalesce(
+        ((kind == "person") & k.isin(*fixed.GENERIC_ACTORS)) | ((kind == "government_institution") & k.isin(*fixed.GENERIC_PLACES))
+        | ((kind == "technology") & k.isin(*fixed.LOW_VALUE_TECHNOLOGY)), F.lit(False))
+
+
 def numeric_junk(c: Column) -> Column:
     s = squeeze(c)
-    return (
-        (F.length(s) <= 1)
-        | s.rlike(r"^[#$€£¥]?\d[\d,.\-+%/ ]*$")
-        | s.rlike(r"^[#$€£¥]?[A-Z]*\d+[A-Z0-9\-+./% ]*$")
-        | s.rlike(r"(?i)^(#|No\.?|Booth|Stand)\s*[A-Z0-9.\-]+$")
-        | s.rlike(r"^[$€£¥]\s*\d[\d,.\-+% ]*$")
-    )
+    return (F.length(s) <= 1) | any_match(s, fixed.NUMBER_NAMES)
 
 
 def price_like(c: Column) -> Column:
     s = squeeze(c)
-    return (
-        (s == "")
-        | s.rlike(r"^[#$€£¥]?\d[\d,.\-+%/ ]*$")
-        | s.rlike(r"^[$€£¥]\s*\d[\d,.\-+% ]*$")
-        | s.rlike(r"^[#$€£¥]?[A-Z]*\d+[A-Z0-9\-+./% ]*$")
-        | s.rlike(r"^[$€£¥#]")
-    )
+    return (s == "") | any_match(s, fixed.PRICE_NAMES)
 
 
 def catalog_like(c: Column) -> Column:
     s = squeeze(c)
     marks = r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(fixed.CATALOG_MARKS) + r")([^\p{L}\p{N}_]|$)"
-    return s.rlike(r"^[#$]") | s.rlike(marks) | s.rlike(r"[0-9]{4,}")
+    return any_match(s, fixed.CATALOG_NAMES) | s.rlike(marks)
 
 
 def news_source(c: Column) -> Column:
@@ -90,12 +101,12 @@ def generic_actor(c: Column) -> Column:
 
 def low_value_place(c: Column) -> Column:
     k = entity_key(c)
-    return k.isin(*fixed.GENERIC_PLACES) | k.rlike(r"^#?\d[\w.\-+]*$")
+    return k.isin(*fixed.GENERIC_PLACES) | k.rlike(fixed.NUMBERED_PLACE)
 
 
 def fragment_of_person(c: Column, kind: Column) -> Column:
     s = squeeze(c)
-    return (kind == "person") & ~s.contains(" ") & ((F.length(s) <= 2) | s.rlike("^[A-Z][a-z]+$"))
+    return (kind == "person") & ~s.contains(" ") & ((F.length(s) <= 2) | s.rlike(fixed.SINGLE_NAME))
 
 
 def tier(n_docs: Column) -> Column:
@@ -121,7 +132,7 @@ def keep_row(name: Column, kind: Column, least: int = 2) -> Column:
     weak_place = (kind == "government_institution") & ~k.isin(*fixed.PLACES_KEPT) & (
         k.isin(*fixed.GENERIC_PLACES) | price_like(name) | catalog_like(name))
     weak_tech = (kind == "technology") & (
-        k.isin(*fixed.WEAK_TECHNOLOGY) | k.rlike(r"^0?\d+ (family|model|models|reasoning model)$") | (k.startswith("ai ") & (F.size(F.split(k, " ")) >= 3)))
+        k.isin(*fixed.WEAK_TECHNOLOGY) | k.rlike(fixed.MODEL_FAMILY) | (k.startswith("ai ") & (F.size(F.split(k, " ")) >= 3)))
     return (
         (F.length(s) >= least) & ~price_like(s) & ~catalog_like(s) & ~F.coalesce(fragment_of_person(s, kind), F.lit(False))
         & ~F.coalesce(weak_place, F.lit(False)) & ~F.coalesce(weak_tech, F.lit(False)))
@@ -130,5 +141,5 @@ def keep_row(name: Column, kind: Column, least: int = 2) -> Column:
 def displayable(name: Column) -> Column:
     """Whether a name may be shown in rankings."""
     n = text(name)
-    marks = r"(?i)(^|[^\p{L}\p{N}_])(booth|token|presale|market|startup|fintech|valued company)([^\p{L}\p{N}_]|$)"
-    return ~(n.rlike(r"^\s*[#$+]") | n.rlike(r"^\s*[0-9]{2}[A-Za-z]{2}") | n.rlike(marks) | n.rlike("[0-9]{4,}")) & ~entity_key(name, camel=False).isin(*fixed.WEAK_TECHNOLOGY)
+    marks = r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(fixed.HIDDEN_WORDS) + r")([^\p{L}\p{N}_]|$)"
+    return ~(any_match(n, fixed.HIDDEN_NAMES) | n.rlike(marks)) & ~entity_key(name, camel=False).isin(*fixed.WEAK_TECHNOLOGY)

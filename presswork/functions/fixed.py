@@ -12,8 +12,15 @@ CANDIDATE_MIN_DOCS, CANDIDATE_MIN_ROWS, CANDIDATES = 3, 5, 15_000
 CONTEXTS_PER_ENTITY, CONTEXT_CHARS = 8, 1_400
 HEAD_DOCS, MID_DOCS, TAIL_DOCS = 300, 80, 20
 TIER_SHARES = {"head": 0.45, "mid": 0.35, "tail": 0.20}
-PER_ENTITY = {"head": 18, "mid": 10, "tail": 5}
-VALID_SHARE, GROUP_VALID_SHARE = 0.15, 0.18
+TYPE_TARGETS = {"company": 3200, "technology": 3200, "government_institution": 1400, "person": 1200}
+PER_ENTITY = {
+    "head": {"company": 18, "technology": 18, "government_institution": 10, "person": 8},
+    "mid": {"company": 10, "technology": 10, "government_institution": 6, "person": 5},
+    "tail": {"company": 5, "technology": 5, "government_institution": 4, "person": 4},
+}
+VALID_SHARE, GROUP_VALID_SHARE, VALID_ROWS = 0.15, 0.18, 1200
+HARD_CASES = 1000
+CANDIDATES_FIRST = 18_000
 
 # Patterns; word edges are written out so that every engine reads them alike ---------------
 KEYWORDS = (
@@ -36,6 +43,23 @@ OUTER_PUNCT = " \t\r\n-–—:;,.'\"“”‘’()[]{}<>|/"
 SPACE_JAVA = r"[\s\x0b\x1c-\x1f\u0085   -     　]+"
 SPACE_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+# Patterns of names that are numbers, prices, catalogue entries, fragments or variants
+NUMBER_NAMES = (
+    r"^[#$€£¥]?\d[\d,.\-+%/ ]*$", r"^[#$€£¥]?[A-Z]*\d+[A-Z0-9\-+./% ]*$", r"(?i)^(#|No\.?|Booth|Stand)\s*[A-Z0-9.\-]+$",
+    r"^[$€£¥]\s*\d[\d,.\-+% ]*$",
+)
+PRICE_NAMES = (
+    r"^[#$€£¥]?\d[\d,.\-+%/ ]*$", r"^[$€£¥]\s*\d[\d,.\-+% ]*$", r"^[#$€£¥]?[A-Z]*\d+[A-Z0-9\-+./% ]*$", r"^[$€£¥#]",
+)
+CATALOG_NAMES = (r"^[#$]", r"[0-9]{4,}")
+NUMBERED_PLACE = r"^#?\d[\w.\-+]*$"
+SINGLE_NAME = "^[A-Z][a-z]+$"
+MODEL_FAMILY = r"^0?\d+ (family|model|models|reasoning model)$"
+HIDDEN_NAMES = (r"^\s*[#$+]", r"^\s*[0-9]{2}[A-Za-z]{2}", "[0-9]{4,}")
+HIDDEN_WORDS = ("booth", "token", "presale", "market", "startup", "fintech", "valued company")
+ENTITY_PUNCT = r"[()\[\]{}.,;:!?\"“”‘’/\\|]+"
+SURFACE_EDGES = (r"^[+*|~]+", r"^[.:;,_\- ]+", r"[.:;,_\- ]+$", r"^\d{2}([A-Z][a-z])", r"^\+\s*")
+
 # Entity vocabularies -----------------------------------------------------------------------
 GENERIC_ACTORS = (
     "he", "she", "they", "we", "i", "you", "users", "researchers", "scientists", "developers", "engineers", "students",
@@ -49,6 +73,7 @@ GENERIC_TECHNOLOGY = (
     "large language models", "llm", "llms", "chatbot", "chatbots", "ai model", "ai models", "ai tool", "ai tools",
     "ai system", "ai systems", "ai technology", "ai technologies",
 )
+LOW_VALUE_TECHNOLOGY = ("ai", "artificial intelligence", "ai models", "ai systems", "ai tools", "ai technology")
 NEWS_SOURCES = (
     "abc news", "afp", "agence france-presse", "al jazeera", "ap", "ars technica", "associated press", "axios", "bbc",
     "bbc news", "bloomberg", "boston globe", "business insider", "business wire", "buzzfeed", "cbs news",
@@ -84,6 +109,12 @@ SAFE_NAMES = {
     "a i models": "AI models", "a i systems": "AI systems", "a i tools": "AI tools",
     "a i technology": "AI technology", "a i technologies": "AI technologies",
 }
+SURFACE_NAMES = {
+    "open ai": "OpenAI", "chat gpt": "ChatGPT", "gpt 4": "GPT-4", "gpt4": "GPT-4", "gpt 4o": "GPT-4o",
+    "gpt4o": "GPT-4o", "u s": "United States", "u s a": "United States", "usa": "United States",
+    "u k": "United Kingdom", "uk": "United Kingdom", "eu": "European Union", "a i": "AI", "ai": "AI",
+    "llms": "LLMs", "llm": "LLM", "0g labs": "0G Labs", "0g foundation": "0G Foundation", "01 ai": "01.ai",
+}
 ANALYSIS_TYPES = ("company", "technology", "government_institution", "person")
 SENTIMENTS = ("negative", "mixed_or_unclear", "positive")
 CATALOG_MARKS = (
@@ -121,4 +152,13 @@ WEAK_TECHNOLOGY = (
     "ai report writing software", "facial recognition systems", "live facial scanning",
     "0 code low code architecture", "01 family", "01 mini models", "01 model", "01 models", "01 reasoning model",
 )
+TOPIC_STOP = (
+    "using", "used", "news", "newsletter", "subscribe", "menu", "search", "login", "register", "advertisement", "advertising",
+)
+ENGLISH_STOP = tuple(
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do "
+    "does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more "
+    "most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these "
+    "they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
+)
 LABEL_ALIASES = {"pos": "positive", "1": "positive", "neg": "negative", "-1": "negative", "mixed": "mixed_or_unclear", "neutral": "mixed_or_unclear", "0": "mixed_or_unclear"}

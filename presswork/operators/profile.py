@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.tables import long_form
+from presswork.operators.tables import dense_ids, long_form
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -30,11 +30,31 @@ def duplicate_profile(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """count, mean, sample deviation, extremes and exact interpolated quantiles."""
+    """count, mean, sample deviation, extremes and exact interpolated quantiles.
+
+    Quantiles keep a count of each distinct value; for columns of very many different
+    values :func:`ranked_quantiles` sorts in parallel instead.
+    """
     c = F.col(column).cast("double")
-    return df.groupBy(*(by or [])).agg(
+    one = df.groupBy(*(by or [])).agg(
         F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        *[F.percentile(c, q).alias(f"p{round(q * 100):02d}") for q in quantiles])
+        F.percentile(c, list(quantiles)).alias("_q"))  # one count of values for all quantiles
+    return one.select("*", *[F.col("_q")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(quantiles)]).drop("_q")
+
+
+def ranked_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(quantile, value): exact interpolated quantiles by a parallel range sort, whatever the number of values.
+
+    Null values do not count; a column without values has null quantiles.
+    """
+    x = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    ids = dense_ids(x.withColumn("_tie", F.monotonically_increasing_id()), ["_x", "_tie"], "_place")
+    n = ids.agg(F.count(F.lit(1))).scalar()
+    want = df.sparkSession.createDataFrame([(float(q),) for q in quantiles], "quantile double").withColumn("_at", F.col("quantile") * (n - 1))
+    ends = want.select("quantile", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_place")).distinct()
+    got = ids.join(F.broadcast(ends), "_place").groupBy("quantile", "_at").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_at") - F.floor("_at"))
+    return want.select("quantile").join(got.select("quantile", value.alias("value")), "quantile", "left")
 
 
 def threshold_shares(df: DataFrame, column: str, below: tuple[int, ...], above: tuple[int, ...]) -> DataFrame:

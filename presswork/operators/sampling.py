@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.operators.tables import dense_ids, null_safe_join, top_n
+from presswork.functions import fixed
+from presswork.operators.tables import dense_ids, null_safe_join, running_total, top_n
+from presswork.session import cut
 
 #: Strata whose sizes may be brought to the driver.
 MAX_STRATA = 100_000
+#: Rows of one stratum that one task sorts.
+SORTED_ROWS = 500_000
 
 
 def draw_key(*keys: str, seed: int = 42) -> Column:
@@ -64,6 +69,21 @@ def nearest_fraction(weights: list[float], total: int) -> list[int]:
     return base
 
 
+def first_gives(weights: list[float], total: int) -> list[int]:
+    """As above, but where the stratum of least weight has only 1 left, the first one above 1 gives."""
+    raw = [w * total for w in weights]
+    base = [max(1, math.floor(x)) for x in raw]
+    least = min(range(len(weights)), key=lambda i: (weights[i], i), default=0)
+    while sum(base) > total:
+        able = [i for i in range(len(base)) if base[i] > 1]
+        if not able:
+            break
+        base[least if base[least] > 1 else able[0]] -= 1
+    while base and sum(base) < total:
+        base[max(range(len(base)), key=lambda j: (raw[j] - base[j], -j))] += 1
+    return base
+
+
 def rounded_with_floor(weights: list[float], total: int, floor: int = 20) -> list[int]:
     """Half-even rounded shares, at least ``floor``; the largest stratum absorbs the difference while above the floor."""
     base = [max(floor, round(w * total)) for w in weights]
@@ -89,17 +109,20 @@ def allocation(df: DataFrame, strata: list[str], total: int, rule=largest_remain
     return df.sparkSession.createDataFrame([(*[r[s] for s in strata], r["n_rows"], g) for r, g in zip(rows, got)], schema)
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, targets: DataFrame, seed: int = 42, salts: int = 32) -> DataFrame:
+def stratified_sample(df: DataFrame, strata: list[str], key: str, targets: DataFrame, seed: int = 42, rows: int = SORTED_ROWS) -> DataFrame:
     """The first ``target`` rows of each stratum by hash order; strata without a target give none.
 
-    Taken in two exact steps: the first rows of each of ``salts`` parts of a stratum, then
-    the first of those. A stratum that holds most rows is thus sorted by many tasks.
+    Taken in two exact steps: the first rows of each part of a stratum, then the first of
+    those. A stratum has a part for every ``rows`` rows it has, so one that holds most of
+    the table is sorted by many tasks.
     """
-    t = F.broadcast(targets.select(*strata, F.col("target").alias("_target")))  # one row a stratum, bounded above
+    sizes = targets if "n_rows" in targets.columns else targets.join(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_rows")), strata)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rows)).cast("long")
+    t = F.broadcast(sizes.select(*strata, F.col("target").alias("_target"), parts.alias("_parts")))  # one row a stratum, bounded above
     order = [draw_key(key, seed=seed), F.col(key)]
-    part = F.pmod(F.xxhash64(key), F.lit(salts)).alias("_part")
+    part = F.pmod(F.xxhash64(key), F.col("_parts")).alias("_part")
     first = lambda d, by: d.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn <= _target").drop("_rn")
-    return first(first(df.select("*", part).join(t, strata), [*strata, "_part"]), strata).drop("_part", "_target")
+    return first(first(df.join(t, strata).select("*", part), [*strata, "_part"]), strata).drop("_part", "_parts", "_target")
 
 
 def ranked(df: DataFrame, strata: list[str], order: list[Column], name: str) -> DataFrame:
@@ -133,6 +156,13 @@ def quota_pool(df: DataFrame, tier: str, entity: list[str], key: str, total: int
     return first.orderBy("_o", draw_key(key, seed=seed), key).limit(total).drop("_o")
 
 
+def typed_pools(df: DataFrame, kind: str, targets: dict[str, int], tier: str, entity: list[str], key: str, shares: dict[str, float],
+                caps: dict[str, dict[str, int]], seed: int = 42) -> DataFrame:
+    """A quota pool for every listed kind, united: no kind takes another one's place."""
+    pools = [quota_pool(df.where(F.col(kind) == k), tier, entity, key, n, shares, {t: c[k] for t, c in caps.items()}, seed) for k, n in targets.items()]
+    return reduce(DataFrame.unionByName, pools)
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, seed: int = 42) -> DataFrame:
     """``split`` is valid for the rounded share of each stratum in hash order, else train."""
     n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
@@ -140,20 +170,29 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, share: float, s
     return on.withColumn("split", F.when(F.col("_rank") <= F.bround(F.col("_n") * share, 0), "valid").otherwise("train")).drop("_n", "_rank")
 
 
-def group_split(df: DataFrame, group: str, label: str, share: float, seed: int = 42) -> DataFrame:
-    """Whole groups to valid or train: strata are the group's commonest label and size bucket.
+def group_split(df: DataFrame, group: str, label: str, share: float, seed: int = 42, kind: str | None = None, docs: str | None = None,
+                least_rows: int = 0) -> DataFrame:
+    """Whole groups to valid or train; strata are the group's commonest kind, commonest label and document bucket.
 
-    Ties of the label go to the smallest; each stratum gives at least one group.
+    Without ``kind`` or ``docs`` that part of the stratum is the same for all (rows stand for
+    documents). Ties go to the smallest value; each stratum gives at least one group. While the valid
+    part has fewer than ``least_rows`` rows, further groups join it in hash order.
     """
-    per_label = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
-    stats = per_label.groupBy(group).agg(
-        F.sum("_n").alias("n_rows"), F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("main_label"))
-    size = F.when(F.col("n_rows") >= 20, "large").when(F.col("n_rows") >= 5, "middle").otherwise("small")
-    s = stats.withColumn("stratum", F.concat_ws("|||", "main_label", size))
+    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), (F.count_distinct(docs) if docs else F.count(F.lit(1))).alias("n_docs"))
+    for c, name in (((kind, "main_type"),) if kind else ()) + ((label, "main_label"),):
+        per = df.groupBy(group, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where("_v is not null")
+        stats = null_safe_join(stats, per.groupBy(group).agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias(name)), [group], "left")
+    n = F.col("n_docs")
+    bucket = F.when(n >= fixed.HEAD_DOCS, "head").when(n >= fixed.MID_DOCS, "mid").otherwise("tail")
+    s = stats.withColumn("stratum", F.concat_ws(
+        "|||", *([F.coalesce("main_type", F.lit("nan"))] if kind else []), F.coalesce("main_label", F.lit("nan")), bucket))
     k = s.groupBy("stratum").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share, 0).cast("int")).alias("_k"))
-    w = Window.partitionBy("stratum").orderBy(draw_key(group, seed=seed), group)
-    return s.join(F.broadcast(k), "stratum").withColumn(
-        "split", F.when(F.row_number().over(w) <= F.col("_k"), "valid").otherwise("train")).drop("_k")
+    drawn = ranked(s, ["stratum"], [draw_key(group, seed=seed), F.col(group)], "_rank").join(k, "stratum").withColumn("_in", F.col("_rank") <= F.col("_k"))
+    drawn = cut(drawn.drop("_rank", "_k"), "groups")
+    missing = least_rows - F.coalesce(drawn.agg(F.sum(F.when(F.col("_in"), F.col("n_rows")))).scalar(), F.lit(0))
+    rest = running_total(drawn.where("not _in").withColumn("_draw", draw_key(group, seed=seed)), ["_draw", group], "n_rows", "_total").drop("_draw")
+    more = rest.withColumn("split", F.when(F.col("_total") - F.col("n_rows") < missing, "valid").otherwise("train")).drop("_total")
+    return drawn.where("_in").withColumn("split", F.lit("valid")).unionByName(more).drop("_in")
 
 
 def two_pools(df: DataFrame, strata: list[str], key: str, total: int, special: Column, share: float, seed: int = 42) -> DataFrame:

@@ -64,6 +64,20 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFram
     return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows up to each one in key order, without a single-task window.
+
+    The order must be total. Ranges are summed in parallel; one row a partition carries them on.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).select("*", F.spark_partition_id().alias("_p"))
+    placed = cut(ranged, "totals")
+    sizes = placed.groupBy("_p").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # one row a partition
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.sum(value).over(inside)).drop("_p", "_o")
+
+
 def left_default(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
     """Left join with the right side's missing values filled; null keys match nothing."""
     out = left.join(right, keys, "left")

@@ -86,7 +86,7 @@ def entity_summary(spark, sf_dir):
     - CASE WHEN {S.isin(S.entity_key('canonical_entity'), fixed.GENERIC_ACTORS)} THEN 5 ELSE 0 END AS p FROM sm
   WHERE final_type IN ('company', 'technology', 'government_institution', 'person') AND NOT coalesce(is_news_source, false) AND NOT coalesce(is_numeric_junk, false)
     AND (n_docs >= 3 OR n_rows >= 5) AND NOT regexp_matches(lower(canonical_entity), '^#|^\\$|\\d{{3,}}|(^|[^a-z0-9_])booth([^a-z0-9_]|$)'))
-SELECT canonical_entity, final_type, n_docs, n_rows, n_domains, round(p, 6) AS priority FROM c ORDER BY round(p, 9) DESC, canonical_entity, final_type LIMIT 150""",
+SELECT canonical_entity, final_type, n_docs, n_rows, n_domains, round(p, 6) AS priority FROM c ORDER BY round(p, 9) DESC, canonical_entity, final_type LIMIT {fixed.CANDIDATES}""",
 )
 def entity_candidates(spark, sf_dir):
     k = entity.entity_key(F.col("canonical_entity"))
@@ -96,7 +96,8 @@ def entity_candidates(spark, sf_dir):
         F.col("final_type").isin(*fixed.ANALYSIS_TYPES) & ~F.coalesce("is_news_source", F.lit(False)) & ~F.coalesce("is_numeric_junk", F.lit(False))
         & ((F.col("n_docs") >= fixed.CANDIDATE_MIN_DOCS) | (F.col("n_rows") >= fixed.CANDIDATE_MIN_ROWS))
         & ~F.lower("canonical_entity").rlike(r"^#|^\$|\d{3,}|(^|[^a-z0-9_])booth([^a-z0-9_]|$)"))
-    return c.withColumn("p", p).orderBy(F.desc(F.round("p", 9)), "canonical_entity", "final_type").limit(fixed.CANDIDATES).select(
+    order = [F.desc(F.round("p", 9)), F.col("canonical_entity"), F.col("final_type")]
+    return c.withColumn("p", p).orderBy(*order).limit(fixed.CANDIDATES_FIRST).orderBy(*order).limit(fixed.CANDIDATES).select(
         "canonical_entity", "final_type", "n_docs", "n_rows", "n_domains", F.round("p", 6).alias("priority"))
 
 
@@ -157,12 +158,29 @@ def mention_dedup(spark, sf_dir):
         "doc_id", "block_id", "canonical_entity", "final_type").agg(F.count(F.lit(1)).alias("n_rows"), F.max("confidence").alias("confidence"))
 
 
-_GAZ = {"Stanholt": "location", "Northport": "location", "machine learning": "technology", "deep learning": "technology"}
+@R.query(
+    "gazetteer_ner",
+    """WITH g AS (SELECT DISTINCT canonical_entity AS name, coalesce(final_type, 'other') AS label, array_to_string(regexp_extract_all(canonical_entity, '[\\p{L}\\p{N}_]+'), ' ') AS k FROM entity_mentions_final WHERE canonical_entity IS NOT NULL),
+gk AS (SELECT k, label, count(*) AS m FROM g WHERE k <> '' GROUP BY 1, 2), w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), s AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS k FROM p, (SELECT unnest(range(1, 13)) AS n) WHERE i + n - 1 <= len(w))
+SELECT s.doc_id, gk.label AS raw_label, CAST(sum(m) AS BIGINT) AS n, count(DISTINCT gk.k) AS n_names FROM s JOIN gk USING (k) GROUP BY 1, 2""",
+)
+def gazetteer_ner(spark, sf_dir):
+    """Names of the entity table in whole documents, with word edges."""
+    g = read(spark, sf_dir, "entity_mentions_final").select(
+        F.col("canonical_entity").alias("name"), F.coalesce("final_type", F.lit("other")).alias("label")).distinct()
+    m = gazetteer_mentions(read(spark, sf_dir, "documents"), "text", g, ["doc_id"])
+    words = F.array_join(F.regexp_extract_all("entity_surface", F.lit(r"([\p{L}\p{N}_]+)")), " ")
+    return m.groupBy("doc_id", "raw_label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(words).alias("n_names"))
 
 
-@R.query("gazetteer_ner", " UNION ALL ".join(
-    f"""SELECT doc_id, {S.q(n)} AS entity_surface, {S.q(t)} AS raw_label, count(*) AS n, CAST(min(length(array_to_string(string_split(text, {S.q(n)})[1:i], {S.q(n)}))) AS BIGINT) AS first_start
-FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, {S.q(n)})))) AS i FROM documents) GROUP BY 1""" for n, t in _GAZ.items()))
-def gazetteer_ner(spark, sf_dir):
-    m = gazetteer_mentions(read(spark, sf_dir, "documents"), "text", _GAZ, ["doc_id"])
-    return m.groupBy("doc_id", "entity_surface", "raw_label").agg(F.count(F.lit(1)).alias("n"), F.min("char_start").alias("first_start"))
+@R.query(
+    "surface_names",
+    f"""WITH n AS (SELECT DISTINCT entity_surface AS e FROM entity_mentions_raw),
+c AS (SELECT e, {S.squeeze("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + S.squeeze('e') + ", '^[+*|~]+', ''), '^[.:;,_ -]+', ''), '[.:;,_ -]+$', ''), '^[0-9]{2}([A-Z][a-z])', '\\1'), '^[+]\\s*', '')")} AS s FROM n)
+SELECT e AS entity_surface, CASE WHEN {S.lookup(S.entity_key('s', camel=False), fixed.SURFACE_NAMES)} IS NOT NULL THEN {S.lookup(S.entity_key('s', camel=False), fixed.SURFACE_NAMES)}
+  WHEN regexp_matches(s, '^[A-Z]{{2,8}}$') THEN s ELSE {S.title_case('s')} END AS surface_name FROM c""",
+)
+def surface_names(spark, sf_dir):
+    s = read(spark, sf_dir, "entity_mentions_raw").select("entity_surface").distinct()
+    return s.select("entity_surface", entity.surface_name(F.col("entity_surface")).alias("surface_name"))

@@ -274,12 +274,12 @@ def class_weights(spark, sf_dir):
 @R.query(
     "hard_cases",
     f"""WITH {_GUESS} SELECT g.sample_id, g.t AS true_label, g.p AS pred_label, min(s.confidence) AS confidence FROM gs g JOIN sentiment_training_data s USING (sample_id)
-WHERE g.t <> g.p GROUP BY ALL ORDER BY confidence DESC, sample_id LIMIT 50""",
+WHERE g.t <> g.p GROUP BY ALL ORDER BY confidence DESC, sample_id LIMIT {fixed.HARD_CASES}""",
 )
 def hard_cases(spark, sf_dir):
     g = _guessed(spark, sf_dir).where("t <> p").join(read(spark, sf_dir, "sentiment_training_data").select("sample_id", "confidence"), "sample_id")
     return g.groupBy("sample_id", F.col("t").alias("true_label"), F.col("p").alias("pred_label")).agg(F.min("confidence").alias("confidence")).orderBy(
-        F.desc("confidence"), "sample_id").limit(50)
+        F.desc("confidence"), "sample_id").limit(fixed.HARD_CASES)
 
 
 _POOL1 = "po AS (SELECT DISTINCT sample_id, canonical_key, lower(trim(final_type)) AS ft, n_docs FROM sentiment_label_pool)"
@@ -324,23 +324,22 @@ def capped_sample(spark, sf_dir):
     return sampling.capped_sample(_pool(spark, sf_dir), ["canonical_key"], "sample_id", 5, 120).select("sample_id", "canonical_key")
 
 
-def _tier_sql(name, cap, n):
-    return f"""SELECT sample_id, canonical_key FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {S.draw('sample_id')}, sample_id) AS rn FROM tp WHERE tier = '{name}')
-  WHERE rn <= {cap} ORDER BY {S.draw('sample_id')}, sample_id LIMIT {n}"""
+def _pool_sql(kind, n):
+    tiers = " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT sample_id, canonical_key, ft FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {S.draw('sample_id')}, sample_id) AS rn FROM tp
+  WHERE tier = '{t}' AND ft = '{kind}') WHERE rn <= {fixed.PER_ENTITY[t][kind]} ORDER BY {S.draw('sample_id')}, sample_id LIMIT {round(s * n)})""" for t, s in fixed.TIER_SHARES.items())
+    return f"""SELECT * FROM (WITH q AS ({tiers}), a AS (SELECT *, 0 AS o FROM q UNION ALL
+  SELECT * FROM (SELECT sample_id, canonical_key, ft, 1 FROM tp WHERE ft = '{kind}' AND sample_id NOT IN (SELECT sample_id FROM q) ORDER BY {S.draw('sample_id')}, sample_id LIMIT {n}))
+SELECT sample_id, canonical_key, ft FROM a ORDER BY o, {S.draw('sample_id')}, sample_id LIMIT {n})"""
 
 
-@R.query(
-    "quota_pool",
-    f"""WITH {_POOL1}, tp AS (SELECT *, {S.tier('n_docs')} AS tier FROM po),
-q AS ({' UNION ALL '.join(f"SELECT * FROM ({_tier_sql(n, fixed.PER_ENTITY[n], round(s * 200))})" for n, s in fixed.TIER_SHARES.items())}),
-a AS (SELECT sample_id, canonical_key, 0 AS o FROM q UNION ALL SELECT * FROM (SELECT sample_id, canonical_key, 1 FROM tp WHERE sample_id NOT IN (SELECT sample_id FROM q) ORDER BY {S.draw('sample_id')}, sample_id LIMIT 200))
-SELECT sample_id, canonical_key FROM a ORDER BY o, {S.draw('sample_id')}, sample_id LIMIT 200""",
-)
+@R.query("quota_pool", f"WITH {_POOL1}, tp AS (SELECT *, {S.tier('n_docs')} AS tier FROM po) " + " UNION ALL ".join(_pool_sql(k, n) for k, n in fixed.TYPE_TARGETS.items()))
 def quota_pool(spark, sf_dir):
     from presswork.functions.entity import tier
 
     p = _pool(spark, sf_dir).withColumn("tier", tier(F.col("n_docs")))
-    return sampling.quota_pool(p, "tier", ["canonical_key"], "sample_id", 200, fixed.TIER_SHARES, fixed.PER_ENTITY).select("sample_id", "canonical_key")
+    return sampling.typed_pools(p, "ft", fixed.TYPE_TARGETS, "tier", ["canonical_key"], "sample_id", fixed.TIER_SHARES, fixed.PER_ENTITY).select(
+        "sample_id", "canonical_key", "ft")
 
 
 @R.query(
@@ -354,15 +353,21 @@ def label_split(spark, sf_dir):
     return sampling.stratified_split(u, ["l"], "sample_id", fixed.VALID_SHARE).select("sample_id", "l", "split")
 
 
-_GSPLIT = f"""WITH c AS (SELECT canonical_key, sentiment_label AS l, count(*) AS n FROM sentiment_training_data GROUP BY 1, 2),
-s AS (SELECT canonical_key, CAST(sum(n) AS BIGINT) AS n_rows, arg_min(l, (-n, l)) AS main_label FROM c GROUP BY 1),
-t AS (SELECT *, main_label || '|||' || CASE WHEN n_rows >= 20 THEN 'large' WHEN n_rows >= 5 THEN 'middle' ELSE 'small' END AS stratum FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {S.draw('canonical_key')}, canonical_key) AS rn, greatest(1, round_even(count(*) OVER (PARTITION BY stratum) * 0.18, 0)) AS k FROM t)
-SELECT canonical_key, n_rows, main_label, stratum, CASE WHEN rn <= k THEN 'valid' ELSE 'train' END AS split FROM r"""
+_GSPLIT = f"""WITH s AS (SELECT canonical_key, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM sentiment_training_data GROUP BY 1),
+ty AS (SELECT canonical_key, arg_min(v, (-n, v)) AS main_type FROM (SELECT canonical_key, final_type AS v, count(*) AS n FROM sentiment_training_data WHERE final_type IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+la AS (SELECT canonical_key, arg_min(v, (-n, v)) AS main_label FROM (SELECT canonical_key, sentiment_label AS v, count(*) AS n FROM sentiment_training_data WHERE sentiment_label IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT s.*, main_type, main_label, coalesce(main_type, 'nan') || '|||' || coalesce(main_label, 'nan') || '|||' || CASE WHEN n_docs >= {fixed.HEAD_DOCS} THEN 'head' WHEN n_docs >= {fixed.MID_DOCS} THEN 'mid' ELSE 'tail' END AS stratum
+  FROM s LEFT JOIN ty USING (canonical_key) LEFT JOIN la USING (canonical_key)),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {S.draw('canonical_key')}, canonical_key) <= greatest(1, round_even(count(*) OVER (PARTITION BY stratum) * {fixed.GROUP_VALID_SHARE}, 0)) AS chosen FROM t),
+more AS (SELECT *, CASE WHEN NOT chosen THEN sum(CASE WHEN chosen THEN 0 ELSE n_rows END) OVER (ORDER BY {S.draw('canonical_key')}, canonical_key) - n_rows END AS before,
+  {fixed.VALID_ROWS} - sum(CASE WHEN chosen THEN n_rows ELSE 0 END) OVER () AS missing FROM r)
+SELECT canonical_key, n_rows, main_label, stratum, CASE WHEN chosen OR before < missing THEN 'valid' ELSE 'train' END AS split FROM more"""
 
 
 def _groups(spark, sf_dir):
-    return sampling.group_split(read(spark, sf_dir, "sentiment_training_data"), "canonical_key", "sentiment_label", fixed.GROUP_VALID_SHARE)
+    return sampling.group_split(
+        read(spark, sf_dir, "sentiment_training_data"), "canonical_key", "sentiment_label", fixed.GROUP_VALID_SHARE,
+        kind="final_type", docs="doc_id", least_rows=fixed.VALID_ROWS)
 
 
 @R.query("group_split", _GSPLIT)
@@ -408,10 +413,50 @@ def label_summary(spark, sf_dir):
         F.round(F.avg("confidence"), 6).alias("confidence_mean"))
 
 
+_SHAPE = """{'has_hash_prefix': starts_with(trim(canonical_entity), '#'), 'has_dollar_prefix': starts_with(trim(canonical_entity), '$'),
+  'contains_digit': regexp_matches(canonical_entity, '[0-9]'), 'token_count': len(regexp_split_to_array(trim(regexp_replace(canonical_entity, '\\s+', ' ', 'g')), ' ')),
+  'is_all_caps': upper(canonical_entity) = canonical_entity AND lower(canonical_entity) <> canonical_entity}"""
+
+
 @R.query(
     "prompt_json",
-    "SELECT DISTINCT sample_id, '{\"entity\":' || to_json(canonical_entity) || ',\"type\":' || to_json(final_type) || ',\"n_docs\":' || n_docs || '}' AS prompt FROM sentiment_label_pool",
+    f"""SELECT DISTINCT sample_id, to_json({{'canonical_entity': canonical_entity, 'canonical_key': canonical_key, 'final_type_input': final_type, 'n_docs': n_docs, 'n_rows': n_rows,
+  'n_domains': n_domains, 'shape_signals': {_SHAPE}}}) AS prompt FROM sentiment_label_pool
+WHERE canonical_entity IS NOT NULL AND canonical_key IS NOT NULL AND final_type IS NOT NULL AND n_docs IS NOT NULL AND n_rows IS NOT NULL AND n_domains IS NOT NULL""",
 )
 def prompt_json(spark, sf_dir):
-    return read(spark, sf_dir, "sentiment_label_pool").select(
-        "sample_id", F.to_json(F.struct(F.col("canonical_entity").alias("entity"), F.col("final_type").alias("type"), "n_docs")).alias("prompt")).distinct()
+    """One compact JSON request a sample, with what the name looks like."""
+    pool = read(spark, sf_dir, "sentiment_label_pool").na.drop(subset=["canonical_entity", "canonical_key", "final_type", "n_docs", "n_rows", "n_domains"])
+    e = F.col("canonical_entity")
+    shape = F.struct(
+        F.trim(e).startswith("#").alias("has_hash_prefix"), F.trim(e).startswith("$").alias("has_dollar_prefix"), e.rlike("[0-9]").alias("contains_digit"),
+        F.size(F.split(F.trim(F.regexp_replace(e, r"\s+", " ")), " ")).alias("token_count"),
+        ((F.upper(e) == e) & (F.lower(e) != e)).alias("is_all_caps"))
+    return pool.select("sample_id", F.to_json(F.struct(
+        e, "canonical_key", F.col("final_type").alias("final_type_input"), "n_docs", "n_rows", "n_domains", shape.alias("shape_signals"))).alias("prompt")).distinct()
+
+
+@R.query(
+    "prompt_text",
+    """SELECT DISTINCT sample_id, 'Entity: ' || coalesce(canonical_entity, '') || chr(10) || 'Type: ' || coalesce(final_type, '') || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Text: ' ||
+  left(coalesce(context_text, ''), 1400) AS prompt FROM sentiment_label_pool""",
+)
+def prompt_text(spark, sf_dir):
+    """The same request as a text template."""
+    part = lambda name, c: F.concat(F.lit(name + ": "), F.coalesce(c, F.lit("")))
+    return read(spark, sf_dir, "sentiment_label_pool").select("sample_id", F.concat_ws(
+        "\n", part("Entity", F.col("canonical_entity")), part("Type", F.col("final_type")), part("Title", F.col("title")),
+        part("Text", F.left("context_text", F.lit(fixed.CONTEXT_CHARS)))).alias("prompt")).distinct()
+
+
+@R.query(
+    "low_value_flags",
+    f"""SELECT DISTINCT canonical_entity, final_type, coalesce((final_type = 'person' AND {S.isin(S.entity_key('canonical_entity', camel=False), fixed.GENERIC_ACTORS)})
+  OR (final_type = 'government_institution' AND {S.isin(S.entity_key('canonical_entity', camel=False), fixed.GENERIC_PLACES)})
+  OR (final_type = 'technology' AND {S.isin(S.entity_key('canonical_entity', camel=False), fixed.LOW_VALUE_TECHNOLOGY)}), false) AS low FROM sentiment_label_pool""",
+)
+def low_value_flags(spark, sf_dir):
+    from presswork.functions.entity import low_value
+
+    p = read(spark, sf_dir, "sentiment_label_pool").select("canonical_entity", "final_type").distinct()
+    return p.withColumn("low", low_value(F.col("canonical_entity"), F.col("final_type")))

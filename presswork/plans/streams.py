@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from presswork.functions import fixed, text
-from presswork.operators import segment
+from presswork.operators import metrics, sampling, segment, tables
 from presswork.operators import sentiment as op
 from presswork.plans import sqltext as S
 from presswork.plans.registry import Registry
@@ -136,12 +136,13 @@ def keyword_labels(spark, sf_dir):
 
 @R.query("classifier_fit_score")
 def classifier_fit_score(spark, sf_dir):
-    """Held-out quality of a bag-of-words classifier of relevant sentences."""
-    s = read(spark, sf_dir, "sentences").select("sent_uid", "sentence_text", F.col("suspect_flag").cast("double").alias("y")).distinct()
-    held = F.pmod(F.xxhash64("sent_uid"), F.lit(5)) == 0
-    m = models.fit_classifier(s.where(~held), "sentence_text", "y")
-    p = models.score(m, s.where(held))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("y")).cast("int")).alias("accuracy"))
+    """Quality, at the best threshold, of a classifier of given labels, on entities it was not trained on."""
+    s = read(spark, sf_dir, "sentiment_training_data").where("context_text is not null and sentiment_label is not null").select(
+        "sample_id", "canonical_key", "context_text", (F.col("sentiment_label") == "negative").cast("double").alias("y")).distinct()
+    held = F.pmod(F.xxhash64("canonical_key"), F.lit(5)) == 0
+    m = models.fit_classifier(s.where(~held), "context_text", "y")
+    p = models.score(m, base.packed(s.where(held), "context_text"))
+    return metrics.best_threshold(metrics.threshold_audit(p, "y", "p", 0.20, 0.90, 0.02))
 
 
 @R.query("topic_kmeans")
@@ -156,9 +157,110 @@ def embedding_plane(spark, sf_dir):
     return models.project_plane(read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "x", "y")
 
 
-@R.query("ngram_vocab")
+def _terms_sql(where: str) -> str:
+    banned = ", ".join(S.q(w) for w in models.english_stop_words())
+    return f"""w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({banned})) AS w FROM documents WHERE text IS NOT NULL AND {where}),
+g AS (SELECT doc_id, source, list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM w)"""
+
+
+@R.query("ngram_vocab", f"""WITH {_terms_sql("lang = 'en'")}, e AS (SELECT unnest(list_distinct(t)) AS term FROM g)
+SELECT term, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 10 AND count(*) <= 0.9 * (SELECT count(*) FROM documents WHERE text IS NOT NULL AND lang = 'en')""")
 def ngram_vocab(spark, sf_dir):
-    return models.ngram_vocabulary(read(spark, sf_dir, "documents").where("lang = 'en'"), "text", 10, 0.9)
+    return models.ngram_vocabulary(read(spark, sf_dir, "documents").where("lang = 'en'"), "text", 10, 0.9, models.english_stop_words())
+
+
+@R.query("topic_terms", f"""WITH {_terms_sql("source IS NOT NULL AND lang = 'en'")}, n AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(t) AS term FROM g) GROUP BY 1, 2),
+a AS (SELECT source, sum(n) AS total FROM n GROUP BY 1), u AS (SELECT term, sum(n) AS uses FROM n GROUP BY 1),
+wt AS (SELECT source, term, n.n / total * ln(1 + (SELECT avg(total) FROM a) / uses) AS weight FROM n JOIN a USING (source) JOIN u USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 12) DESC, term) AS rank FROM wt)
+SELECT source, term, round(weight, 9) AS weight, rank FROM r WHERE rank <= 10""")
+def topic_terms(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("lang = 'en'")
+    return models.class_terms(d, "source", "text", stop=models.english_stop_words()).withColumn("weight", F.round("weight", 9))
+
+
+@R.query("topic_density")
+def topic_density(spark, sf_dir):
+    """Rows of each topic that lie in dense parts of it; the rest is noise."""
+    e = read(spark, sf_dir, "embeddings")
+    t = models.assign_topics(models.fit_topics(e, "embedding", 8), e, "embedding", 0.05)
+    return models.density_noise(t, "vec_id", "embedding", "topic_id").groupBy("topic_id", "dense").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("length_packing", """WITH b AS (SELECT DISTINCT block_uid, length(clean_block_text) AS n FROM entity_mentions_raw WHERE clean_block_text IS NOT NULL)
+SELECT CAST(CASE WHEN n <= 80 THEN 0 WHEN n <= 200 THEN 1 WHEN n <= 400 THEN 2 WHEN n <= 800 THEN 3 WHEN n <= 1600 THEN 4 ELSE 5 END AS INT) AS len_range, count(*) AS n_rows, max(n) AS longest FROM b GROUP BY 1""")
+def length_packing(spark, sf_dir):
+    u = read(spark, sf_dir, "entity_mentions_raw").where("clean_block_text is not null").select("block_uid", "clean_block_text").distinct()
+    lens = base.packed(u, "clean_block_text").select("block_uid", "len_range", F.length("clean_block_text").cast("long").alias("n")).distinct()
+    return lens.groupBy("len_range").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n").alias("longest"))
+
+
+@R.query("label_resume", """SELECT 'first' AS run, CAST(0 AS BIGINT) AS n_done_before, count(DISTINCT sample_id) AS n_labelled, count(DISTINCT sample_id) AS n_ok, CAST(0 AS BIGINT) AS n_failed FROM sentiment_training_data WHERE sample_id < 's5'
+UNION ALL SELECT 'second', count(DISTINCT sample_id) FILTER (sample_id < 's5'), count(DISTINCT sample_id) FILTER (NOT sample_id < 's5'), count(DISTINCT sample_id) FILTER (NOT sample_id < 's5'), 0 FROM sentiment_training_data""")
+def label_resume(spark, sf_dir):
+    """A labelling run that broke off and one that goes on from its log, with their progress figures."""
+    t = read(spark, sf_dir, "sentiment_training_data").groupBy("sample_id").agg(F.max("context_text").alias("t"))
+    log = _place(spark, "labels")
+    labeler = base.KeywordLabeler("a")
+    runs = [base.label_run(d, "sample_id", "t", labeler, log).withColumn("run", F.lit(n)) for n, d in (("first", t.where("sample_id < 's5'")), ("second", t))]
+    return runs[0].unionByName(runs[1]).select("run", "n_done_before", "n_labelled", "n_ok", "n_failed")
+
+
+@R.query("reply_bools", """SELECT sample_id, CASE WHEN lower(trim(v)) IN ('true', '1', '1.0', 'yes', 'y') THEN true WHEN lower(trim(v)) IN ('false', '0', '0.0', 'no', 'n', '') THEN false END AS keep
+FROM (SELECT DISTINCT sample_id, CASE substr(md5(sample_id), 1, 1) WHEN '0' THEN ' True' WHEN '1' THEN 'no' WHEN '2' THEN '1' WHEN '3' THEN '' WHEN '4' THEN 'perhaps' ELSE 'yes ' END AS v FROM sentiment_training_data)""")
+def reply_bools(spark, sf_dir):
+    h = F.substring(F.md5("sample_id"), 1, 1)
+    v = F.when(h == "0", " True").when(h == "1", "no").when(h == "2", "1").when(h == "3", "").when(h == "4", "perhaps").otherwise("yes ")
+    return read(spark, sf_dir, "sentiment_training_data").select("sample_id").distinct().select("sample_id", base.as_bool(v).alias("keep"))
+
+
+@R.query("allocation_rules", """SELECT rule, b AS len_bucket, target FROM (WITH sn AS (SELECT sent_uid, min(sent_len_bucket) AS b FROM sentences GROUP BY 1), w AS (SELECT b, count(*) / sum(count(*)) OVER () AS w FROM sn GROUP BY 1),
+f AS (SELECT b, w, floor(w * 300) AS base, w * 300 - floor(w * 300) AS rest FROM w), r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, b) AS k, 300 - sum(base) OVER () AS missing FROM f)
+SELECT unnest(['least share gives', 'first gives']) AS rule, b, CAST(greatest(1, base) + CASE WHEN k <= missing THEN 1 ELSE 0 END AS BIGINT) AS target FROM r)""")
+def allocation_rules(spark, sf_dir):
+    """Rows a stratum by the two allocation rules of the labelling samples."""
+    s = read(spark, sf_dir, "sentences").groupBy("sent_uid").agg(F.min("sent_len_bucket").alias("len_bucket"))
+    parts = [sampling.allocation(s, ["len_bucket"], 300, rule).select(F.lit(n).alias("rule"), "len_bucket", "target")
+             for n, rule in (("least share gives", sampling.nearest_fraction), ("first gives", sampling.first_gives))]
+    return parts[0].unionByName(parts[1])
+
+
+@R.query("source_checks", """SELECT check_name, value FROM (SELECT unnest(['shards', 'first existing', 'rows by shard glob']) AS check_name, CAST(unnest([3, 1, (SELECT count(*) FROM nation)]) AS BIGINT) AS value
+UNION ALL SELECT 'strict lines', count(*) FROM nation UNION ALL SELECT 'strict refuses', 1 UNION ALL SELECT 'keys done', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'keys of no log', 0
+UNION ALL SELECT 'document entries', count(*) FROM nation UNION ALL SELECT 'bullets', count(*) FROM nation UNION ALL SELECT 'schema probe', 1)""")
+def source_checks(spark, sf_dir):
+    """Shards, the first of several paths, strict JSON lines, keys of a log, a JSON report read back, bullets."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    folder, log, report = (_place(spark, x) for x in ("parts", "strict", "report"))
+    n.repartition(3, "n_nationkey").write.option("maxRecordsPerFile", 1_000_000).parquet(folder)
+    files.append_json_lines(n, log)
+    files.write_json_report(n.agg(F.collect_list(F.struct(*n.columns)).alias("entries")), report)
+    broken = _place(spark, "broken")
+    spark.createDataFrame([('{"n_nationkey": 1}',), ("{no json",)], "value string").write.text(broken)
+    try:
+        refused = files.read_json_lines(spark, broken, n.schema, strict=True).collect() is None
+    except Exception:
+        refused = True
+    rows = [
+        ("shards", len(files.shards(spark, folder))), ("first existing", int(files.first_existing(spark, [folder + "-none", folder]) == folder)),
+        ("rows by shard glob", files.read_parquet(spark, folder + "/*.parquet", ["n_name"]).count()),
+        ("strict lines", files.read_json_lines(spark, log, n.schema, strict=True).count()), ("strict refuses", int(refused)),
+        ("keys done", files.done_keys(spark, log, n.schema, ["n_regionkey"]).count()),
+        ("keys of no log", files.done_keys(spark, log + "-none", n.schema, ["n_regionkey"]).count()),
+        ("document entries", len(files.read_json_document(spark, report)["entries"])),
+        ("bullets", files.bullets(n, "{n_name}").count("- ")),
+        ("schema probe", len(files.with_columns(spark, [folder, log], ["n_name", "n_regionkey"])))]
+    return spark.createDataFrame(rows, "check_name string, value long")
+
+
+@R.query("column_checks", """SELECT n_nationkey AS id, n_name AS label, 'none' AS remark FROM nation""")
+def column_checks(spark, sf_dir):
+    """The first of several columns, a default for one that is missing, and the required ones."""
+    n = read(spark, sf_dir, "nation")
+    n = tables.ensure_column(n, "remark", "none", "string")
+    n = n.withColumn("label", F.col(tables.first_present(n, ["name", "n_name"])))
+    return tables.select_present(tables.require_columns(n, ["n_nationkey", "label"]).withColumnRenamed("n_nationkey", "id"), ["id", "label", "remark", "absent"])
 
 
 @R.query("noise_shares", "SELECT sent_len_bucket, round(avg(suspect_flag), 6) AS noise_share, round(avg(CAST(p_ai_block >= 0.8 AS INT)), 6) AS pred_share FROM sentences GROUP BY 1")

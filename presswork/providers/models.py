@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, PCA, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, PCA, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.functions import fixed
+from presswork.operators.tables import top_n
+
 
 def fit_classifier(train: DataFrame, body: str, label: str, weight: str | None = None, features: int = 1 << 14) -> PipelineModel:
     """Bag-of-words logistic regression; two or more classes, optional row weights."""
@@ -55,16 +60,74 @@ def project_plane(df: DataFrame, vector: str) -> DataFrame:
     return m.transform(v).select(*df.columns, xy[0].alias("x"), xy[1].alias("y"))
 
 
-def ngram_vocabulary(df: DataFrame, body: str, min_df: float, max_df: float, stop: list[str] | None = None) -> DataFrame:
-    """(term, n): 1- to 3-grams without stop words, within document frequency bounds."""
-    clean = StopWordsRemover(inputCol="_words", outputCol="s", stopWords=stop or StopWordsRemover.loadDefaultStopWords("english"))
-    grams = [NGram(n=n, inputCol="s", outputCol=f"g{n}") for n in (1, 2, 3)]
-    pre = Pipeline(stages=[RegexTokenizer(inputCol=body, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), clean, *grams])
+def english_stop_words() -> list[str]:
+    """Common English words and those of page furniture, united."""
+    return sorted({*fixed.ENGLISH_STOP, *fixed.TOPIC_STOP})
+
+
+def term_arrays(df: DataFrame, body: str, stop: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with ``terms``: 1- to 3-grams of lower-case words, without the stop words and the extra ones."""
+    banned = sorted({*(stop if stop is not None else StopWordsRemover.loadDefaultStopWords("english")), *extra})
+    words = F.filter(F.split(F.lower(F.col(body)), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*banned))
+    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    # bound once, so that a text is cut a single time
+    return df.withColumn("terms", F.transform(F.array(words), lambda w: F.concat(w, grams(w, 2), grams(w, 3)))[0])
+
+
+def ngram_vocabulary(df: DataFrame, body: str, min_df: int, max_df: float, stop: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(term, n): 1- to 3-grams and the documents they stand in, at least ``min_df`` and at most the share ``max_df`` of all.
+
+    A distributed count with no bound on the vocabulary. Null texts are no documents.
+    """
     d = df.where(F.col(body).isNotNull())
-    t = pre.fit(d).transform(d).select(F.concat("g1", "g2", "g3").alias("terms"))
-    vocab = CountVectorizer(inputCol="terms", outputCol="c", minDF=min_df, maxDF=max_df, binary=True).fit(t).vocabulary
-    spark = df.sparkSession
-    return spark.createDataFrame([(w, i) for i, w in enumerate(vocab)], "term string, place long")
+    most = d.agg(F.count(F.lit(1)) * max_df).scalar()
+    each = term_arrays(d, body, stop, extra).select(F.explode(F.array_distinct("terms")).alias("term"))
+    n = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return n.where((F.col("n") >= min_df) & (F.col("n") <= most))
+
+
+def class_terms(df: DataFrame, topic: str, body: str, top: int = 10, stop: list[str] | None = None) -> DataFrame:
+    """(topic, term, weight, rank): the terms that tell a topic from the others.
+
+    Weight is a term's share of its topic's terms times log(1 + mean terms a topic / uses
+    of the term in all topics).
+    """
+    each = term_arrays(df.where(F.col(body).isNotNull() & F.col(topic).isNotNull()), body, stop).select(topic, F.explode("terms").alias("term"))
+    n = each.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    per_topic = n.groupBy(topic).agg(F.sum("n").alias("all"))
+    per_term = n.groupBy("term").agg(F.sum("n").alias("uses"))
+    mean = per_topic.agg(F.avg("all")).scalar()
+    w = n.join(per_topic, topic).join(per_term, "term").select(
+        topic, "term", (F.col("n") / F.col("all") * F.log(1 + mean / F.col("uses"))).alias("weight"))
+    return top_n(w, [topic], [F.desc(F.round("weight", 12)), F.col("term")], top, "rank")
+
+
+def density_noise(df: DataFrame, key: str, vector: str, topic: str, least: int = 10, reach: float = 0.35, seed: int = 42, planes: int = 12) -> DataFrame:
+    """The rows with ``dense``: whether at least ``least`` rows of their topic lie in the same or a next cell.
+
+    Cells are signs of random planes of the unit vector (fixed by ``seed``); a row counts
+    the rows of its own cell and of the cells beyond the one plane it lies nearest to, if
+    within ``reach``. Counted per cell, so no topic is gathered.
+    """
+    size = df.select(F.size(vector).alias("n")).where("n > 0").limit(1).collect()
+    if not size:
+        return df.withColumn("dense", F.lit(False))
+    rng = random.Random(seed)
+    axes = [[rng.gauss(0, 1) for _ in range(size[0]["n"])] for _ in range(planes)]
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    dot = lambda a: F.try_divide(F.aggregate(F.zip_with(v, F.array(*[F.lit(x) for x in a]), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), norm)
+    d = df.withColumn("_d", F.array(*[dot(a) for a in axes]))
+    bits = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x).cast("long")
+    near = F.array_position(F.transform("_d", F.abs), F.array_min(F.transform("_d", F.abs))) - 1
+    d = d.withColumns({"_cell": bits(F.col("_d")), "_next": F.when(F.array_min(F.transform("_d", F.abs)) <= reach, near)})
+    cells = d.groupBy(topic, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    flip = F.col("_cell").bitwiseXOR(F.expr("shiftleft(1L, cast(_next as int))"))
+    out = d.withColumn("_other", flip)
+    other = cells.select(F.col(topic).alias("_t"), F.col("_cell").alias("_c"), F.col("_n").alias("_m"))
+    out = out.join(cells, [topic, "_cell"]).join(other, (F.col(topic) == F.col("_t")) & (F.col("_other") == F.col("_c")), "left")
+    return out.withColumn("dense", F.col("_n") + F.coalesce("_m", F.lit(0)) > least).select(*df.columns, "dense")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

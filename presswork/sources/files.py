@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -39,6 +40,21 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def with_columns(spark: SparkSession, paths: list[str], columns: list[str]) -> list[str]:
+    """Those of the paths (globs too) that are Parquet tables with all the columns; only schemas are read."""
+    out = []
+    for p in paths:
+        try:
+            if set(columns) <= set(spark.read.parquet(p).columns):
+                out.append(p)
+        except AnalysisException:
+            continue
+        except Exception as e:  # other formats fail while their footer is read
+            if "is not a Parquet file" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e):
+                raise
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
@@ -110,16 +126,39 @@ def compact_log(spark: SparkSession, path: str, schema: StructType, keys: list[s
     return spark.read.parquet(target)
 
 
-def manifest_upsert(spark: SparkSession, path: str, entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Replaces the manifest rows of the given keys; the old file stays whole until the new one is written."""
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        entries = old.join(entries.select(*keys), keys, "left_anti").unionByName(entries)
-    entries.coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path + ".new")
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Finished versions of a manifest, oldest first: a version counts once its ``_SUCCESS`` mark is written."""
+    if not exists(spark, path):
+        return []
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, path + ".new")[1], p)
-    return spark.read.parquet(path)
+    found = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-"))
+    return [v for v in found if exists(spark, v + "/_SUCCESS")]
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version of a manifest."""
+    done = _versions(spark, path)
+    if not done:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(done[-1])
+
+
+def manifest_upsert(spark: SparkSession, path: str, entries: DataFrame, keys: list[str], keep: int = 2) -> DataFrame:
+    """Replaces the manifest rows of the given keys in a new version.
+
+    Readers see the old version until the new one is finished, so a crash at any point
+    leaves a whole manifest; the ``keep`` newest versions stay. One writer at a time.
+    """
+    done = _versions(spark, path)
+    if done:
+        old = spark.read.parquet(done[-1])
+        entries = old.join(entries.select(*keys), keys, "left_anti").unionByName(entries)
+    n = int(done[-1].rsplit("v-", 1)[1]) + 1 if done else 0
+    entries.coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/v-{n:012d}")
+    for v in done[:len(done) + 1 - keep]:
+        fs, p = _fs(spark, v)
+        fs.delete(p, True)
+    return read_manifest(spark, path)
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True, columns: list[str] | None = None) -> DataFrame:

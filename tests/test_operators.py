@@ -141,3 +141,47 @@ def test_ranks_and_two_step_samples_equal_plain_windows(spark):
     t = spark.createDataFrame([("hot", 33), ("c", 500)], "s string, target long")
     got = {r["k"] for r in sampling.stratified_sample(df, ["s"], "k", t).collect()}
     assert got == {r["k"] for r in df.where("s is not null").collect() if want[r["k"]] <= (33 if r["s"] == "hot" else 500)}
+
+
+def test_group_split_tops_up_whole_groups(spark):
+    df = spark.range(600).select(
+        (F.col("id") % 60).cast("string").alias("g"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("l"), F.lit("t").alias("k"), F.col("id").alias("d"))
+    s = sampling.group_split(df, "g", "l", 0.1, kind="k", docs="d", least_rows=200)
+    assert s.where("split = 'valid'").agg(F.sum("n_rows")).first()[0] == 200
+    assert sampling.group_split(df, "g", "l", 0.1, kind="k", docs="d").where("split = 'valid'").count() == 6
+    assert sampling.group_split(df, "g", "l", 0.1, least_rows=10**6).where("split = 'train'").count() == 0
+    assert sampling.group_split(df.limit(0), "g", "l", 0.1, least_rows=5).count() == 0
+
+
+def test_allocation_rules():
+    assert sampling.first_gives([0.98, 0.01, 0.01], 10) == [8, 1, 1] == sampling.nearest_fraction([0.98, 0.01, 0.01], 10)
+    assert sampling.first_gives([0.5, 0.5], 1) == [1, 1] and sampling.first_gives([], 5) == []
+    assert sum(sampling.first_gives([0.3, 0.3, 0.4], 101)) == 101
+
+
+def test_typed_pools_keep_to_their_kind(spark):
+    df = spark.range(400).select(
+        F.col("id").cast("string").alias("k"), (F.col("id") % 50).alias("e"), F.when(F.col("id") % 4 == 0, "p").otherwise("c").alias("t"), F.lit("head").alias("tier"))
+    got = sampling.typed_pools(df, "t", {"p": 30, "c": 40}, "tier", ["e"], "k", {"head": 1.0}, {"head": {"p": 2, "c": 2}})
+    assert {r["t"]: r["count"] for r in got.groupBy("t").count().collect()} == {"p": 30, "c": 40}
+
+
+def test_quantiles_by_rank_and_running_totals(spark):
+    from presswork.operators import profile, tables
+
+    df = spark.range(1001).select((F.col("id") * 3.5).alias("x")).unionByName(spark.createDataFrame([(None,)], "x double"))
+    got = {round(r["quantile"], 2): r["value"] for r in profile.ranked_quantiles(df, "x").collect()}
+    want = profile.describe(df, "x").first()
+    assert got == {0.01: want["p01"], 0.05: want["p05"], 0.25: want["p25"], 0.5: want["p50"], 0.75: want["p75"], 0.95: want["p95"], 0.99: want["p99"]}
+    t = tables.running_total(spark.range(500).select("id", (F.col("id") + 1).alias("n")), ["id"], "n", "total").collect()
+    assert all(r["total"] == (r["id"] + 1) * (r["id"] + 2) // 2 for r in t)
+
+
+def test_no_limits_where_none_are_asked(spark):
+    from presswork.operators import segment
+
+    long = "\n\n".join(f"Block number {i} with enough letters to be kept. {'word ' * 300}end." for i in range(450))
+    d = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert segment.blocks(d).count() == 400 and segment.blocks(d, most=None).count() == 450
+    s = segment.sentences(segment.blocks(d, most=None), most=None, a_block=None)
+    assert s.agg(F.max("sent_len")).first()[0] > 800 and segment.sentences(segment.blocks(d)).agg(F.max("sent_len")).first()[0] == 800

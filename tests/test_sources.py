@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -102,3 +104,81 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     want = buckets.window_counts(spark.read.parquet(src), "ts", [], "1 day", "30 days")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert buckets.run_to_table(buckets.deduplicated(s(), ["id"], "ts", "30 days"), "d").count() == 200
+
+
+def test_gazetteer_tables_edges_and_passes(spark):
+    df = spark.createDataFrame([(1, "machine learnings, machine learning; New York City", 0.1), (2, "", 0.2), (3, None, 0.3)], "id int, t string, raw_score double")
+    names = spark.createDataFrame([("machine learning", "t"), ("New York", "p"), ("New York City", "p"), ("York", "x"), (None, "x"), ("...", "x")], "name string, label string")
+    want = [("New York", "p", 37), ("New York City", "p", 37), ("York", "x", 41), ("machine learning", "t", 19)]
+    for part in (500, 1):
+        got = [(r["entity_surface"], r["raw_label"], r["char_start"]) for r in base.gazetteer_mentions(df, "t", names, ["id"], part).collect()]
+        assert sorted(got) == sorted((a, b, c) for a, b, c in want)
+    assert base.gazetteer_mentions(df, "t", names.limit(0), ["id"]).count() == 0
+
+
+def test_http_labels_retry_and_errors():
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][1]["content"]
+            seen.append(text)
+            code = 429 if seen.count("later") == 1 and text == "later" else 400 if text == "bad" else 200
+            self.send_response(code)
+            self.end_headers()
+            reply = 'Sure: {"label": "1", "confidence": "0.7", "reason": "so"}' if text != "odd" else "no json"
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": reply}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = base.HttpLabeler(f"http://127.0.0.1:{server.server_port}/", "m", "Label it.", ("0", "1"))
+    assert base.with_retry(lambda: ask("later"), sleep=lambda _: None) == ("1", 0.7, "so") and seen.count("later") == 2
+    assert ask("odd")[0] == "no json"
+    with pytest.raises(ValueError):
+        ask("bad")
+    server.shutdown()
+    dead = base.HttpLabeler(f"http://127.0.0.1:{server.server_port}/", "m", "x", ("0", "1"), timeout=0.2)
+    server.server_close()
+    with pytest.raises(base.Retry):
+        dead("x")
+
+
+def test_an_unfinished_manifest_version_is_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    m = lambda rows: spark.createDataFrame(rows, "shard string, n long")
+    files.manifest_upsert(spark, path, m([("a", 1)]), ["shard"])
+    os.makedirs(tmp_path / "m" / "v-000000000009")  # a writer that broke off
+    assert files.read_manifest(spark, path).collect()[0]["n"] == 1
+    for k in range(4):
+        files.manifest_upsert(spark, path, m([("a", k)]), ["shard"])
+    assert files.read_manifest(spark, path).collect()[0]["n"] == 3
+    assert len(files._versions(spark, path)) == 2
+
+
+def test_packed_rows_and_truth_values(spark):
+    df = spark.createDataFrame([("x" * n,) for n in (5, 900, 90, 5000)] + [(None,)], "t string")
+    got = base.packed(df, "t").collect()
+    assert sorted(r["len_range"] for r in got) == [0, 0, 1, 4, 5]
+    v = spark.createDataFrame([(" TRUE",), ("0",), ("maybe",), (None,), ("",)], "v string")
+    assert [r["b"] for r in v.select(base.as_bool(F.col("v")).alias("b")).collect()] == [True, False, None, None, False]
+
+
+def test_terms_and_density(spark):
+    from presswork.providers import models
+
+    df = spark.createDataFrame([("a", "solar power grid of power"), ("a", "solar grid"), ("b", "court judge of grid"), (None, "x y"), ("b", None)], "topic string, t string")
+    got = models.class_terms(df, "topic", "t", 2, ["of"]).collect()
+    assert {r["topic"] for r in got} == {"a", "b"} and {r["rank"] for r in got} == {1, 2}
+    v = {r["term"]: r["n"] for r in models.ngram_vocabulary(df, "t", 1, 1.0, ["of"]).collect()}
+    assert v["solar"] == 2 and v["grid"] == 3 and v["power grid power"] == 1 and "of" not in v
+    pts = [(i, [1.0, 0.01 * (i % 3), 0.0], 0) for i in range(40)] + [(99, [-1.0, 0.3, -2.0], 0)]
+    d = models.density_noise(spark.createDataFrame(pts, "k int, v array<double>, topic int"), "k", "v", "topic")
+    assert {r["k"] for r in d.where("not dense").collect()} == {99} and d.count() == 41
