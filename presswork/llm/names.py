@@ -512,8 +512,8 @@ def _cut_forms(words: DataFrame, briefs: DataFrame) -> DataFrame:
     return met.select("canon", "word").distinct().mapInPandas(check, "canon string").distinct()
 
 
-def _rooted(named: DataFrame) -> DataFrame:
-    """(root, name, family, ticker, toks): every name under its roots, with its other tokens in order."""
+def _placed(named: DataFrame) -> DataFrame:
+    """Every name under its roots, with its other tokens and the blocks they are compared in."""
     canon = token_canon(named)
     each = named.select("name", "ticker", F.posexplode(F.arrays_zip("tokens", "rootable")).alias("pos", "t")).select(
         "name", "ticker", "pos", F.col("t.tokens").alias("token"), F.col("t.rootable").alias("rootable"))
@@ -544,24 +544,25 @@ def _rooted(named: DataFrame) -> DataFrame:
     roots = ranked.join(least, "name").where(F.col("partners") == F.col("least")).select("name", F.col("canon").alias("root")).distinct()
     # a list of one name's own tokens
     rest = each.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "canon", "names"))).alias("toks"))
-    out = cut(roots.join(rest, "name").join(named.select("name", "family", "ticker"), "name").select("root", "name", "family", "ticker", "toks"), "rooted")
+    rooted = roots.join(rest, "name").join(named.select("name", "family", "ticker"), "name").select("root", "name", "family", "ticker", "toks")
+    out = cut(_with_blocks(rooted), "placed")
     for t in (canon, each, partners):
         forget(t)
     return out
 
 
-def _tickers(named: DataFrame, rooted: DataFrame) -> DataFrame:
+def _tickers(named: DataFrame, placed: DataFrame) -> DataFrame:
     """(name, family, root): tickers whose letters open the consonants of just one organisation's root."""
     skel = F.upper(F.regexp_replace("root", "[aeiou]", ""))
-    firsts = rooted.where("family = 'org' and not ticker").select("root").distinct().select(
+    firsts = placed.where("family = 'org' and not ticker").select("root").distinct().select(
         "root", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substring(skel, F.lit(1), k)))).alias("t"))
     ticks = named.where("ticker").select("name", F.trim("name").alias("t"))
     one = ticks.join(firsts, "t").groupBy("name").agg(F.min("root").alias("root"), F.max("root").alias("other")).where("root = other")
     return one.select("name", F.lit("org").alias("family"), "root")
 
 
-def _placed(rooted: DataFrame) -> DataFrame:
-    """Every name's remaining tokens in each block they are compared in, one row a (node, block)."""
+def _with_blocks(rooted: DataFrame) -> DataFrame:
+    """(root, family, name, ticker, rest, words, ns, sigs, owns): a name's tokens besides its root, and their blocks."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -577,11 +578,11 @@ def _placed(rooted: DataFrame) -> DataFrame:
                         n.append(int(t["names"]))
                 sigs = signatures(d, c) if d else []
                 words = [x for t, x in zip(d, c) if not initial(t)]
-                out.append((r.root, r.family, r.name, " ".join(d), words, n, [s for s, _ in sigs], [o for _, o in sigs]))
-            yield pd.DataFrame(out, columns=["root", "family", "name", "rest", "words", "ns", "sigs", "owns"])
+                out.append((r.root, r.family, r.name, r.ticker, " ".join(d), words, n, [s for s, _ in sigs], [o for _, o in sigs]))
+            yield pd.DataFrame(out, columns=["root", "family", "name", "ticker", "rest", "words", "ns", "sigs", "owns"])
 
     return rooted.mapInPandas(
-        place, "root string, family string, name string, rest string, words array<string>, ns array<long>, sigs array<string>, owns array<boolean>")
+        place, "root string, family string, name string, ticker boolean, rest string, words array<string>, ns array<long>, sigs array<string>, owns array<boolean>")
 
 
 def _block_links(nodes: DataFrame) -> DataFrame:
@@ -623,32 +624,34 @@ def name_groups(mentions: DataFrame) -> DataFrame:
     repeated mentions count once; an empty table gives no rows.
     """
     named = cut(_tokenised(_spellings(mentions)), "spellings")
-    rooted = _rooted(named)
-    placed = cut(_placed(rooted), "placed")
+    placed = _placed(named)
     of = ["root", "family"]
     nodes = placed.where("rest <> ''").select(
         *of, "rest", "words", "ns", F.explode(F.arrays_zip("sigs", "owns")).alias("s")).select(
         *of, F.col("s.sigs").alias("sig"), "rest", "words", "ns", F.col("s.owns").alias("own")).dropDuplicates([*of, "sig", "rest"])
     links = cut(_block_links(nodes), "links")
     # a short form that could mean two entities is linked to neither
+    home = links.where("not short").select(*of, "a", F.col("b").alias("rep"))
     means = links.where("short").groupBy(*of, "a").agg(F.min("b").alias("b"), F.max("b").alias("other"))
-    sure = links.where("not short").select(*of, "a", "b").unionByName(means.where("b = other").select(*of, "a", "b"))
-    node = lambda c: F.concat_ws("\u0001", *of, F.col(c))
-    comp = components(sure.where("a <> b").select(node("a").alias("u"), node("b").alias("v")).distinct())
+    node = lambda c: F.concat_ws("\u0001", *of, c)
+    rep = F.coalesce("rep", "a")
+    between = means.where("b = other").join(home, [*of, "a"], "left").select(node(rep).alias("u"), node(F.col("b")).alias("v")).where("u <> v")
+    merged = components(between)
+    comp = merged.withColumnsRenamed({"node": "class", "root": "least"})
     initials = F.expr("forall(split(rest, ' '), t -> length(t) = 1 and lower(t) <> upper(t))")
     open_ = means.where("b <> other").select(*of, F.col("a").alias("rest"), F.lit(True).alias("open"))
-    own = placed.where("rest <> ''").select(*of, "name", "rest").join(open_, [*of, "rest"], "left").where(
-        F.col("open").isNull() | ~initials).withColumn("node", node("rest"))
-    own = own.join(comp.withColumnRenamed("root", "least"), "node", "left").select(*of, "name", F.coalesce("least", "node").alias("entity"))
+    own = placed.where("rest <> ''").select(*of, "name", "rest").join(open_, [*of, "rest"], "left").where(F.col("open").isNull() | ~initials)
+    own = own.join(home.withColumnRenamed("a", "rest"), [*of, "rest"], "left").withColumn("class", node(F.coalesce("rep", "rest")))
+    own = own.join(comp, "class", "left").select(*of, "name", F.coalesce("least", "class").alias("entity"))
     own = cut(own, "entities")
     # a bare root, or a ticker, means the only entity under it
-    bare = placed.where("rest = ''").select(*of, "name").unionByName(_tickers(named, rooted).select(*of, "name")).distinct()
+    bare = placed.where("rest = ''").select(*of, "name").unionByName(_tickers(named, placed).select(*of, "name")).distinct()
     under = own.groupBy(*of).agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))
     bare = bare.join(under, of, "left").where("entity is null or entity = other").select(
         *of, "name", F.coalesce("entity", F.concat_ws("\u0001", *of)).alias("entity"))
     each = own.unionByName(bare).select("root", "name", F.md5("entity").alias("group_id")).distinct()
     each = cut(each, "members")
-    for t in (named, rooted, placed, links, comp, own):
+    for t in (named, placed, links, merged, own):
         forget(t)
     linked = each.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
     return each.join(linked, "group_id", "left_semi").select("group_id", "root", "name")

@@ -151,6 +151,18 @@ def p5_bodies(spark, sf_dir):
     return blocks.main_bodies(read(spark, sf_dir, "news_final_project"))
 
 
+@R.query(
+    "p5_audit",
+    """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM news_final_project)
+SELECT doc_id, count(*) FILTER (regexp_replace(translate(line, '""" + _INVISIBLE + """', ''),
+  '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0085}\\x0b\\x1c-\\x1f]+', '', 'g') <> '') AS n_lines FROM l GROUP BY 1""",
+)
+def p5_audit(spark, sf_dir):
+    """Lines of every body and lines left out: together all lines that are not blank."""
+    kept = F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n")))
+    return p5_bodies(spark, sf_dir).select("doc_id", (kept + F.col("n_removed")).cast("long").alias("n_lines"))
+
+
 # ---------------------------------------------------------------- 6: variant names
 
 
@@ -165,6 +177,17 @@ def p6_groups(spark, sf_dir):
     return names.membership(names.name_groups(read(spark, sf_dir, "entity_mentions_raw")))
 
 
+@R.query("p6_audit", "SELECT unnest(['pairs without a common group', 'group pairs not found']) AS measure, CAST(0 AS BIGINT) AS value")
+def p6_audit(spark, sf_dir):
+    """Pairs and memberships must say the same."""
+    g = cut(names.name_groups(read(spark, sf_dir, "entity_mentions_raw")), "groups")
+    pairs, m = names.name_pairs(g), names.membership(g)
+    a, b = (m.select("group_id", F.col("entity_surface").alias(n)) for n in ("name_a", "name_b"))
+    shared = a.join(b, "group_id").where("name_a < name_b").select("name_a", "name_b").distinct()
+    count = lambda df, name: df.agg(F.lit(name).alias("measure"), F.count(F.lit(1)).alias("value"))
+    return count(pairs.exceptAll(shared), "pairs without a common group").unionByName(count(shared.exceptAll(pairs), "group pairs not found"))
+
+
 # ---------------------------------------------------------------- 7: evaluation leaks
 
 
