@@ -11,7 +11,7 @@ from presswork.plans import sqltext as S
 from presswork.plans.registry import Registry
 from presswork.plans.sentiment import predictions
 from presswork.providers import models
-from presswork.session import read, shared_dir
+from presswork.session import own_dir, read
 
 R = Registry()
 
@@ -145,7 +145,7 @@ def multiclass_classifier(spark, sf_dir):
     idx = F.when(F.col("sentiment_label") == "negative", 0.0).when(F.col("sentiment_label") == "mixed_or_unclear", 1.0).otherwise(2.0)
     d = read(spark, sf_dir, "sentiment_training_data").select("sample_id", "context_text", idx.alias("y"), F.coalesce("confidence", F.lit(0.5)).alias("w"))
     held = F.pmod(F.xxhash64("sample_id"), F.lit(5)) == 0
-    path = f"{shared_dir(spark)}/presswork/model-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/model-{uuid.uuid4().hex}"
     models.save_model(models.fit_classifier(d.where(~held), "context_text", "y", "w", 1 << 12), path)
     return models.score(models.load_model(path), d.where(held)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("y")).cast("int")).alias("accuracy"))
 

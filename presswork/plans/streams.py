@@ -11,7 +11,7 @@ from presswork.operators import sentiment as op
 from presswork.plans import sqltext as S
 from presswork.plans.registry import Registry
 from presswork.providers import base, models
-from presswork.session import read, shared_dir
+from presswork.session import own_dir, read
 from presswork.sources import files
 from presswork.streaming import buckets
 
@@ -74,7 +74,7 @@ def stream_dedup(spark, sf_dir):
 
 
 def _place(spark, name):
-    return f"{shared_dir(spark)}/presswork/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @R.query("jsonl_round_trip", "SELECT sample_id, min(sentiment_label) AS sentiment_label, max(confidence) AS confidence FROM sentiment_training_data GROUP BY 1")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -40,6 +41,24 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def read_vectors(spark: SparkSession, path: str, column: str, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """A table with a vector column; refused if it has another number of rows, or vectors of another length, than named."""
+    df = spark.read.parquet(path)
+    n, bad = df.agg(F.count(F.lit(1)), F.count_if(F.size(column) != size) if size else F.lit(0)).first()
+    if rows is not None and n != rows:
+        raise ValueError(f"{path} has {n} rows, not {rows}")
+    if bad:
+        raise ValueError(f"{bad} vectors of {path} have not {size} numbers")
+    return df
+
+
+def record_batches(df: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The rows in lists of at most ``size``, one partition at a time on the driver."""
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    while batch := list(islice(rows, size)):
+        yield batch
+
+
 def with_columns(spark: SparkSession, paths: list[str], columns: list[str]) -> list[str]:
     """Those of the paths (globs too) that are Parquet tables with all the columns; only schemas are read."""
     out = []

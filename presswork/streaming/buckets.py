@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presswork.session import shared_dir
+from presswork.session import own_dir
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 4) -> DataFrame:
@@ -39,7 +39,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", prepare: Ca
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/presswork/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     if mode == "complete":
         def save(batch: DataFrame, _: int) -> None:
             batch.write.mode("overwrite").parquet(f"{base}/data")

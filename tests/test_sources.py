@@ -182,3 +182,14 @@ def test_terms_and_density(spark):
     pts = [(i, [1.0, 0.01 * (i % 3), 0.0], 0) for i in range(40)] + [(99, [-1.0, 0.3, -2.0], 0)]
     d = models.density_noise(spark.createDataFrame(pts, "k int, v array<double>, topic int"), "k", "v", "topic")
     assert {r["k"] for r in d.where("not dense").collect()} == {99} and d.count() == 41
+
+
+def test_vectors_and_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    spark.range(25).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v")).write.parquet(path)
+    assert files.read_vectors(spark, path, "v", 25, 2).count() == 25
+    for wrong in ({"rows": 24}, {"size": 3}):
+        with pytest.raises(ValueError):
+            files.read_vectors(spark, path, "v", **wrong)
+    assert [len(b) for b in files.record_batches(spark.range(25), 10)] == [10, 10, 5]
+    assert list(files.record_batches(spark.range(0), 10)) == []
