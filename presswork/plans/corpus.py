@@ -198,7 +198,7 @@ def dense_doc_ids(spark, sf_dir):
 
 @R.query(
     "top_k_tier",
-    """WITH t AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 8)
+    f"""WITH t AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT {fixed.TOP_DOMAINS})
 SELECT CASE WHEN source IN (FROM t) THEN source ELSE 'other' END AS domain_tier, count(*) AS n FROM documents GROUP BY 1""",
 )
 def top_k_tier(spark, sf_dir):
